@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application, so that kernels can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="latticework-")) / "latticework.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
 
 def get_session(app: str = "latticework", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session; on a cluster pass the master and sizes by spark-submit instead."""
