@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 SPACES = " \t\n\x0b\f\r"
@@ -66,6 +70,12 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """`mapInArrow` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(kernel, schema)
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two 64-bit hashes; together they identify a value among 10^12 others for all purposes."""
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), *cols).alias("h2")]
