@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, minhash, packing, quality
+from . import chat, line_dedup, minhash, packing, quality, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_suffix_tree_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passage_report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op1_cross_site_lines": op1_cross_site_lines,
         "op3_chat_format": op3_chat_format,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op7_suffix_tree_passages": op7_suffix_tree_passages,
         "op8_quality_outliers": op8_quality_outliers,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
