@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, minhash, packing, quality, substring
+from . import chat, decontam, line_dedup, minhash, packing, quality, substring, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_tree_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.passage_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,23 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 FROM d LEFT JOIN k USING (r)
 """
 
+def _op5_sql() -> str:
+    """The longest rule that fits, else allow: what the cascade must give over the whole universe."""
+
+    def case(column: int, rules) -> str:
+        fits = "".join(f" WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{s + p}') THEN '{(what, text)[column]}'" for what, text in rules for h, s, p in [text.partition("/")])
+        return f"CASE{fits}"
+
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+     p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path, {case(1, rules)} END AS rule, {case(0, rules)} ELSE 'allow' END AS verdict FROM p
+"""
+
+
 OP3_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -78,6 +103,8 @@ def queries() -> dict[str, Query]:
         "op1_cross_site_lines": op1_cross_site_lines,
         "op3_chat_format": op3_chat_format,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op5_bloom_cascade_urls": op5_bloom_cascade_urls,
+        "op6_edit_decontamination": op6_edit_decontamination,
         "op7_suffix_tree_passages": op7_suffix_tree_passages,
         "op8_quality_outliers": op8_quality_outliers,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -85,4 +112,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cross_site_lines": OP1_SQL, "op3_chat_format": OP3_SQL}
+    return {"op1_cross_site_lines": OP1_SQL, "op3_chat_format": OP3_SQL, "op5_bloom_cascade_urls": _op5_sql()}
