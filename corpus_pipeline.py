@@ -1,20 +1,60 @@
-"""The corpus pipeline: quality rules."""
+"""The corpus pipeline: five stages from documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
+documents. A driver that runs STAGES itself writes each result as Parquet and rereads it as the next
+one's docs; `run` does the same in the shared checkpoint folder.
+"""
 
 from __future__ import annotations
 
-from latticework.llm import quality
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticework.llm import decontam, line_dedup, minhash, packing, quality
+from latticework.llm.common import table, written
+from latticework.llm.queries import tokenizer_path
 
 
-def quality_rules(spark, docs, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
     return quality.quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that many sites share; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near copies."""
+    return minhash.near_dedup(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its edit budget."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", boilerplate_lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark_passages),
+    ("best_fit_packing", packed_sequences),
+]
+
+#: Three stages (estimates, near copies, packing) are beyond SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
