@@ -12,7 +12,10 @@ from ..functions import scalars as S
 from ..operators import cells as C
 from ..operators import enrich as E
 from ..operators import graph as G
+from ..operators import images as I
+from ..operators import packing as P
 from ..operators import rules as R
+from .config import Config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -501,3 +504,54 @@ def understanding(spark, sf_dir):
     u = E.validate(E.mock_response(F.col("c_name")))
     rows = table(spark, sf_dir, "customer").select("c_custkey", u.alias("u"))
     return rows.select("c_custkey", "u.asset_type", "u.category", F.size("u.problems").alias("problems"))
+
+
+# ---- kernels on images drawn from tables (no SQL form; tests compare them with brute force)
+
+
+def _drawn(spark, sf_dir) -> DataFrame:
+    """One 64 x 64 image for each brand of parts: a 3 x 3 block for every (size, number) cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..session import ship
+
+    def draw(table):
+        rgba = np.zeros((64, 64, 4), np.uint8)
+        for size, key in zip(table.column("p_size").to_pylist(), table.column("p_partkey").to_pylist()):
+            y, x = size % 60, key % 60
+            rgba[y : y + 3, x : x + 3] = (size * 5 % 256, key % 256, 90, 255)
+        schema = pa.schema([("source", pa.string()), ("status", pa.string()), ("stage", pa.string()), ("code", pa.string()), ("message", pa.string()), ("has_alpha", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()), ("byte_size", pa.int64()), ("data", pa.binary())])
+        row = {"source": table.column("p_brand")[0].as_py(), "status": "ok", "has_alpha": True, "width": 64, "height": 64, "byte_size": rgba.nbytes, "data": rgba.tobytes()}
+        return pa.Table.from_pylist([row], schema)
+
+    from ..sources.images import IMAGE
+
+    ship(spark)
+    rows = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_brand", "p_size", "p_partkey")
+    return rows.groupBy("p_brand").applyInArrow(draw, IMAGE)
+
+
+@query("pack_pages")
+def pack_pages(spark, sf_dir):
+    blocks = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ordinal"), (F.col("p_size") + 4).alias("width"), (F.col("p_partkey") % 37 + 4).alias("height"))
+    return P.pack_groups(blocks, 256, 256, 2)
+
+
+@query("sprite_pipeline")
+def sprite_pipeline(spark, sf_dir):
+    done = I.process(_drawn(spark, sf_dir), Config.default(), with_pixels=False)
+    rows = done.select("source", "status", F.explode_outer("sprites").alias("s"))
+    return rows.select("source", "status", "s.id", "s.page", "s.page_rect.x", "s.page_rect.y", "s.page_rect.width", "s.page_rect.height")
+
+
+@query("image_report")
+def image_report(spark, sf_dir):
+    assets = I.features(_drawn(spark, sf_dir))
+    return R.analyze(assets, max_ratio=0.5).select("asset", "rule", "severity", "message")
+
+
+@query("manifest_json")
+def manifest_json(spark, sf_dir):
+    done = I.process(_drawn(spark, sf_dir), Config.default(), with_pixels=False)
+    return I.manifest(done, "latticework", "0.1.0")
