@@ -10,11 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows hold texts or images, so Arrow batches are bounded by bytes; Spark's default is 64 MB.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that kernels can import it."""
+    """Send this package to the executors once for each application, so that kernels can import it.
+
+    Also bounds Arrow batches by bytes, unless the session has a bound of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES, None) in (None, "67108864b"):
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
