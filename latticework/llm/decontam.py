@@ -155,5 +155,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item; all columns stay. Null doc_ids stay."""
-    hit = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["_hit"], "left_anti")
+    hit = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct())
+    return docs.join(hit, docs["doc_id"].cast("long") == hit["hit_id"], "left_anti")

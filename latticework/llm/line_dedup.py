@@ -9,9 +9,9 @@ All shuffles carry hashes, sketches and positions; texts move once, and only to
 lines. Frequent lines are combined before each shuffle.
 
 Edge cases. A line is compared trimmed of spaces; blank lines are never removed. Null text: no lines,
-text stays null. Null source: one site of its own. Rows with one doc_id: each occurrence counts, and
-the first by position stays in each of those rows. Null doc_id: comes before all others. Empty table:
-empty result. Extra columns are kept by `line_dedup`.
+text stays null. Null source: one site of its own. Rows are judged one by one, also those that share a
+doc_id; repeated rows all keep a line of which theirs is the first. Null doc_id: comes before all
+others. Empty table: empty result. Extra columns are kept by `line_dedup`.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ LG_K = 10
 BAND = 0.26
 #: Boilerplate lines (16 bytes of hash and a position each) that may go to all executors.
 BROADCAST_LINES = 200_000
+_DROP = "__latticework_drop"
 
 
 def lines_of(text: Column) -> Column:
@@ -35,11 +36,11 @@ def lines_of(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, site, position and hash of every line with something in it."""
+    """doc_id, hash of the text, site, position and hash of every line with something in it."""
     site = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = docs.select("doc_id", site.alias("site"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("body"), site.alias("site"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
-    return rows.select("doc_id", "site", "pos", *hash128(F.col("line")))
+    return rows.select("doc_id", "body", "site", "pos", *hash128(F.col("line")))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -62,17 +63,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, min_sites: int) -> DataFrame:
-    """docs with `_drop`, the positions of the lines to remove (null: none)."""
+    """docs with `_DROP`, the positions of the lines to remove (null: none)."""
     found = boilerplate(docs, min_sites)
     hits = _occurrences(docs).join(_small(found), ["h1", "h2"])
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    gone = hits.where(~first).groupBy(F.col("doc_id").alias("_gone")).agg(F.collect_set("pos").alias("_drop"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left").drop("_gone")
+    gone = hits.where(~first).groupBy(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).agg(F.collect_set("pos").alias(_DROP))
+    own = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_body"])
+    return docs.join(gone, own, "left").select(*[docs[c] for c in docs.columns], gone[_DROP])
 
 
 def _kept() -> Column:
-    keep = F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("_drop", i))
-    return F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    keep = F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains(_DROP, i))
+    return F.when(F.col(_DROP).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
 
 
 def line_report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -80,7 +82,7 @@ def line_report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     docs = docs.select("doc_id", "text", "source")
     marked = _marked(docs, min_sites)
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text"))))
-    return marked.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.encode(F.coalesce(_kept(), F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return marked.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size(_DROP), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.encode(F.coalesce(_kept(), F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

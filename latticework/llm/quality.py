@@ -126,8 +126,13 @@ def _bin() -> Column:
     return F.greatest(F.lit(-320), F.least(F.lit(1280), F.floor(F.log2(F.col("d2") + 1e-9) * 32))).cast("int")
 
 
-def _on_group(rows: DataFrame, params: DataFrame, group: list[str]) -> DataFrame:
-    return rows.join(params, group, "left")
+#: Groups whose estimates (about 200 bytes each) may go to all executors; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
+
+
+def _per_group(params: DataFrame) -> DataFrame:
+    """A checkpointed table of groups, sent whole if it is small by count."""
+    return F.broadcast(params) if params.count() <= BROADCAST_GROUPS else params
 
 
 def mcd_fit(vectors: DataFrame, group: list[str], coverage: float = COVERAGE, steps: int = C_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
@@ -136,13 +141,13 @@ def mcd_fit(vectors: DataFrame, group: list[str], coverage: float = COVERAGE, st
     `group` columns must not be null.
     """
     size = vectors.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(z, 0.5, 1000).alias(f"m_{z}") for z in DIMS]).where(F.col("n") >= min_group)
-    size = cut(size)
+    size = _per_group(cut(size))
     # start: medians and mean absolute deviations about them, without correlations
     spread = vectors.join(size, group).groupBy(*group).agg(*[F.avg(F.abs(F.col(z) - F.col(f"m_{z}"))).alias(f"a_{z}") for z in DIMS])
     zero = [F.lit(0.0).alias(f"l_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[:i]]
     fit = size.join(spread, group).select(*group, *[F.col(f"m_{z}").cast("double").alias(f"c_{z}") for z in DIMS], *zero, *[F.greatest(F.round(F.col(f"a_{z}"), 3), F.lit(float(f))).alias(f"l_{z}_{z}") for z, f in zip(DIMS, FLOOR)])
     for _ in range(steps):
-        fit = cut(fit)
+        fit = _per_group(cut(fit))
         binned = _distance(vectors.join(fit, group)).select(*group, *DIMS, _bin().alias("bin"))
         # sums by bin are additive too: one pass gives the histogram and, for any cut of it, the moments
         by_bin = binned.groupBy(*group, "bin").agg(*_moments())
@@ -159,7 +164,7 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
     rows = _vector(stats).withColumns({"base_failed": failed, "_lang": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
     group = ["_lang", "_source"]
     fit = mcd_fit(rows.where(~F.col("base_failed")).select(*group, *DIMS), group, **mcd)
-    out = _distance(_on_group(rows, fit, group))
+    out = _distance(rows.join(_per_group(fit), group, "left"))
     return out.select(*stats.columns, "base_failed", F.round("d2", 6).alias("d2"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
@@ -175,6 +180,5 @@ def quality_filter(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     Rows are judged by their content, so doc_id need not be unique: the verdict is looked up by
     doc_id, and a doc_id with several rows stays if any of its rows does.
     """
-    kept = quality_scores(docs, cutoff).where("kept").select("doc_id").distinct()
-    key = F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), key, "left_semi")
+    kept = cut(quality_scores(docs, cutoff).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

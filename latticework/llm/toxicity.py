@@ -287,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     distinct = train.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).select("text", "toxic")
     lexicon = learn_lexicon(distinct)
     rows = map_arrow(train, _feature_kernel(lexicon), "x array<double>, toxic int").collect()  # max_train rows at most
-    weights = fit_weights(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.toxic for r in rows], float))
+    weights = fit_weights(np.array([r.x for r in rows]).reshape(len(rows), len(OUTPUTS)), np.array([r.toxic for r in rows], float))
     return Model(lexicon, weights.tolist())
 
 
