@@ -5,10 +5,11 @@ A batch holds signed facts: an insert adds a document's counts, a delete subtrac
 language and tokenizer version, map-side first, and only that small delta is stored. Totals are the sum
 of all deltas, so batches may come in any order.
 
-Commits are idempotent. A batch's delta is written to a folder of its own; then a log entry named after
-the batch is created with create-if-absent. A batch whose entry exists is not applied again, and a
-folder without an entry (a driver or an executor was lost midway) is never read. `compact` folds
-entries into one.
+Commits are idempotent. A batch's delta is written to a folder of its own; then a log entry, written
+aside, is renamed to a name made from the batch id. A batch whose entry exists is not applied again, and
+a folder without an entry (a driver or an executor was lost midway) is never read. `compact` folds
+entries into one. The file system must rename atomically and refuse to rename onto a file, as HDFS does;
+on others let one writer commit at a time.
 
 Edge cases. Null source or language: a group of its own (null). Null text: zero tokens and characters.
 Null or repeated doc_ids count as often as they stand. An empty batch commits an empty delta. A batch
@@ -104,10 +105,10 @@ class Rollup:
         out.write(bytearray(json.dumps(entry).encode()))
         out.close()
         target = self._path(name)
-        if self._fs.exists(target):
-            self._fs.delete(part, False)
-            return False
-        return bool(self._fs.rename(part, target))
+        if not self._fs.exists(target) and self._fs.rename(part, target):
+            return True
+        self._fs.delete(part, False)
+        return False
 
     def _entries(self) -> list[dict]:
         found = []

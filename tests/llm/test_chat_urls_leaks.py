@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DOCS, awkward_docs, prose
+from samples import DOCS, awkward_docs, prose
 from latticework.llm import chat, decontam, queries, url_filter
 
 

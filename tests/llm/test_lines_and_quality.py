@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from conftest import CLASHING, DOCS, awkward_docs, prose  # noqa: F401
+from samples import CLASHING, DOCS, awkward_docs, prose  # noqa: F401
 from latticework.llm import line_dedup, quality
 
 

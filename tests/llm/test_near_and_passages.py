@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest import DOCS, awkward_docs, prose
+from samples import DOCS, awkward_docs, prose
 from latticework.llm import minhash, substring, textkernel
 
 

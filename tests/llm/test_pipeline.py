@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from conftest import CLASHING, DOCS, prose
+from samples import CLASHING, DOCS, prose
 from latticework.llm import decontam, queries
 from test_lines_and_quality import base, brute_lines
 from test_near_and_passages import brute_classes
