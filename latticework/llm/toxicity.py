@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as T
 from .common import map_arrow, written
 
 MAX_TRAIN = 20_000
@@ -37,6 +38,10 @@ STEMS = (4, 5, 6)
 MAX_LEXICON = 2_000
 #: Candidates counted in clean texts.
 MAX_CANDIDATES = 20_000
+#: A unit must stand in this share of the toxic texts at least.
+MIN_SHARE = 0.005
+#: Least shingles of a text that tell families of near copies.
+FAMILY = 5
 CACHE = 300_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = b"oihtnrb"
@@ -207,8 +212,40 @@ def _support(texts: DataFrame, only: frozenset[str] | None) -> DataFrame:
     return map_arrow(texts.select("text"), _count_units(only), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def _family_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic) with a hash of the text and `FAMILY` least hashes of its three-word shingles."""
+    for batch in batches:
+        for a, b, buf, offsets in T.chunks(batch.column(0)):
+            flat, ptr = T.shingle_sets(buf, offsets, 3)
+            keys = np.zeros((FAMILY, b - a), np.int64)
+            own, full = np.diff(ptr), np.flatnonzero(np.diff(ptr))
+            for k in range(FAMILY):
+                if len(full):
+                    keys[k, full] = np.minimum.reduceat(T.mix(flat ^ T._STEP[k]), ptr[:-1][full]).view(np.int64)  # noqa: SLF001
+                keys[k, own == 0] = 0
+            texts = batch.column(0).slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([texts, batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * FAMILY), pa.array(keys.T.reshape(-1)))], names=["text", "toxic", "keys"])
+
+
+def one_of_each_family(train: DataFrame) -> DataFrame:
+    """One text of each family of copies and near copies, as copies are no independent evidence.
+
+    Texts that share any of a few least shingles count as a family. The keys of at most `MAX_TRAIN`
+    texts are compared on the driver.
+    """
+    keyed = written(map_arrow(train.select("text", "toxic"), _family_kernel, "text string, toxic int, keys array<long>").withColumn("h", F.xxhash64("text", "toxic")), "families")
+    seen, kept = set(), []
+    for r in sorted(keyed.select("h", "toxic", "keys").collect(), key=lambda r: (r.h, r.toxic)):
+        own = {(r.toxic, i, k) for i, k in enumerate(r["keys"])}
+        if seen.isdisjoint(own):
+            kept.append((r.h,))
+        seen |= own
+    ids = train.sparkSession.createDataFrame(kept, "h long")
+    return keyed.join(F.broadcast(ids), "h").dropDuplicates(["h"]).select("text", "toxic")
+
+
 def learn_lexicon(train: DataFrame) -> dict[str, int]:
-    """Words (1) and stems (0) that mark toxic texts, from distinct (text, toxic) rows."""
+    """Words (1) and stems (0) that mark toxic texts, from (text, toxic) rows without copies."""
     sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -217,7 +254,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, int]:
     hits = {r.unit: r.n for r in some}
     misses = {r.unit: r.n for r in _support(train.where("toxic = 0"), frozenset(hits)).collect()}
     # enough toxic texts that chance, tried on all candidates, doesn't explain their number
-    least = (math.log(max(2, len(hits))) + 4) / math.log((toxic + clean) / toxic)
+    least = max((math.log(max(2, len(hits))) + 4) / math.log((toxic + clean) / toxic), MIN_SHARE * toxic)
     good = {}
     for unit, n in hits.items():
         odds = math.log((n + 0.5) / (toxic + 1)) - math.log((misses.get(unit, 0) + 0.5) / (clean + 1))
@@ -231,29 +268,38 @@ def learn_lexicon(train: DataFrame) -> dict[str, int]:
     lexicon = dict.fromkeys(SEEDS, 1)
     stems = sorted((u for u in good if u[0] != "="), key=len)
     for stem in stems:  # a stem stands for many words; one word's stem adds nothing
-        if good[stem] > 1.1 * top_word[stem] and not any(stem[:n] in lexicon for n in STEMS if n < len(stem)):
-            lexicon[stem] = 0
+        if good[stem] > 1.1 * top_word[stem] and not any(stem.startswith(s) for s, whole in lexicon.items() if not whole):
+            same = [t for t in stems if t.startswith(stem) and good[t] >= 0.98 * good[stem]]
+            lexicon[max(same, key=len)] = 0  # the longest that stands for the same words
     for unit in sorted((u for u in good if u[0] == "="), key=lambda u: (-good[u], u)):
         if len(lexicon) < MAX_LEXICON and not any(lexicon.get(unit[1 : 1 + n]) == 0 for n in STEMS):
             lexicon[unit[1:]] = 1
     return lexicon
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps, penalised by the distance from the default weights."""
+def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 100) -> np.ndarray:
+    """Logistic regression by damped Newton steps, penalised by the distance from the default weights."""
     prior = default_weights()
     w = prior.copy()
     if not len(y):
         return w
     x = np.hstack([np.ones((len(x), 1)), x])
+
+    def loss(v):
+        z = x @ v
+        return np.logaddexp(0, z).sum() - y @ z + strength / 2 * ((v - prior) ** 2).sum()
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + strength * (w - prior)
         hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - then < 1e-9:
             break
+        w, now = w - size * step, then
     return w
 
 
@@ -284,8 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     # at most max_train ids go to the executors
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text IS NOT NULL").select("text", "toxic")
     train = written(train, "toxic")
-    distinct = train.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).select("text", "toxic")
-    lexicon = learn_lexicon(distinct)
+    lexicon = learn_lexicon(one_of_each_family(train))
     rows = map_arrow(train, _feature_kernel(lexicon), "x array<double>, toxic int").collect()  # max_train rows at most
     weights = fit_weights(np.array([r.x for r in rows]).reshape(len(rows), len(OUTPUTS)), np.array([r.toxic for r in rows], float))
     return Model(lexicon, weights.tolist())
