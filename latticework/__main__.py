@@ -1,4 +1,4 @@
-"""python -m latticework init|validate|inspect|process|analyze|suggest ...: exit code 2 for bad input, 1 for failures."""
+"""python -m latticework init|validate|inspect|process|analyze|suggest|transform ...: exit code 2 for bad input, 1 for failures."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     init.add_argument("--force", action="store_true")
     for name in ("validate",):
         sub.add_parser(name).add_argument("preset")
-    for name in ("inspect", "process", "analyze", "suggest"):
+    for name in ("inspect", "process", "analyze", "suggest", "transform"):
         c = sub.add_parser(name)
         c.add_argument("folder")
         c.add_argument("--preset")
@@ -88,12 +88,25 @@ def _run(args, cfg: Config) -> int:
         (out / "quality-report.json").write_text(exports.quality_json(nested, errors))
         (out / "quality-report.html").write_text(exports.quality_html(nested, errors))
         failed = len(errors)
+    elif args.command == "suggest":
+        from .plans import provider
+
+        settings = provider.Settings.resolve()
+        cache = provider.AnswerCache(spark, str((out / "answers").resolve()))
+        results = provider.understand(images.features(decoded), cache, settings).persist()
+        for name, text in provider.sidecars(results, settings).items():
+            (out / name).write_text(text)
     else:
-        from pyspark.sql import functions as F
+        from .plans import project
 
-        named = images.features(decoded).select(F.col("name").alias("source"), F.col("name").alias("ord"), enrich.validate(enrich.mock_response(F.col("name"))).alias("u"))
-        results = named.select("source", "ord", "u.asset_type", "u.category", "u.confidence")
-        (out / "suggestions.json").write_text(json.dumps([r.asDict(True) for r in enrich.metadata(results).orderBy("source").collect()], indent=2) + "\n")
+        for r in project.transform(decoded, cfg).toLocalIterator():
+            failed += r.status != "ok"
+            if r.status == "ok":
+                base = out / r.source.rsplit(".", 1)[0]
+                (base / "layers").mkdir(parents=True, exist_ok=True)
+                (base / "project.json").write_text(exports.pretty(json.loads(r.project)))
+                for f in r.files:
+                    (base / f.name).write_bytes(f.png)
     return 1 if failed else 0
 
 

@@ -26,5 +26,10 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["analyze", str(root), "--out", str(tmp_path / "q")]) == 0
     assert json.loads((tmp_path / "q/quality-report.json").read_text())["summary"]["high"] == 1
     assert main(["suggest", str(root), "--out", str(tmp_path / "s")]) == 0
+    assert json.loads((tmp_path / "s/ai_report.json").read_text())["summary"] == {"assets": 2, "errors": 0, "cacheHits": 0, "cacheMisses": 2}
+    assert main(["suggest", str(root), "--out", str(tmp_path / "s")]) == 0
+    assert json.loads((tmp_path / "s/ai_report.json").read_text())["summary"]["cacheHits"] == 2
+    assert main(["transform", str(root), "--out", str(tmp_path / "t")]) == 0
+    assert json.loads((tmp_path / "t/a_1/project.json").read_text())["layers"][0]["id"] == "layer_00" and (tmp_path / "t/a_1/layers/layer_00.png").exists()
     (root / "broken.png").write_bytes(b"x")
     assert main(["inspect", str(root)]) == 1
