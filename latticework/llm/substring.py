@@ -11,7 +11,9 @@ span are sent to the anchor's group, where a suffix subtree is built, cut at dep
 are sorted, neighbours compared, and the internal nodes that deep are the repeats. The prefix length
 varies: groups above `GROUP` suffix anchors, which would not fit a task, are split by lengthening the
 prefix to the full depth. There a prefix is a deep node itself, and its least document comes from a
-min-aggregate that is combined before the shuffle.
+min-aggregate that is combined before the shuffle; windows go in blocks of up to `BLOCK` at fixed places
+about the anchor, so a passage that very many documents share moves as a few blocks a document, and only
+the first document of each block looks its windows up one by one.
 
 Equal word sequences are collapsed first: of a group of copies only the least document enters the
 trees, as it holds the least doc_id of each of their windows; the others are repeats as a whole.
@@ -38,6 +40,7 @@ WINDOW = 50
 GRAM = 10
 #: Anchors of a group that one task takes whole.
 GROUP = 500
+BLOCK = 8
 #: Up to this many document ids (long) go to all executors, to pick their texts before a shuffle.
 BROADCAST_IDS = 200_000
 _SPAN = WINDOW - GRAM + 1
@@ -55,12 +58,12 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(words: T.Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, first window, last window) for all runs of windows with one anchor."""
+    """(text, anchor hash, first window, last window, anchor) for all runs of windows with one anchor."""
     grams = T.window_hashes(hashes, GRAM)
     has = words.counts >= WINDOW
     if not has.any():
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     least = (sliding_min(keys, _SPAN) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     n = np.where(has, words.counts - WINDOW + 1, 0)
@@ -72,7 +75,7 @@ def anchors(words: T.Words, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     first[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     lo = np.flatnonzero(first)
     hi = np.append(lo[1:], len(at)) - 1
-    return text[lo], grams[at[lo]], local[lo], local[hi]
+    return text[lo], grams[at[lo]], local[lo], local[hi], at[lo] - words.ptr[:-1][text[lo]]
 
 
 def _digests(words: T.Words, hashes: np.ndarray) -> list[np.ndarray]:
@@ -86,7 +89,7 @@ def _digests(words: T.Words, hashes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_SCANNED = "doc_id long, n_words long, c1 long, c2 long, sha string, anchor array<long>, lo array<int>, hi array<int>"
+_SCANNED = "doc_id long, n_words long, c1 long, c2 long, sha string, anchor array<long>, lo array<int>, hi array<int>, mid array<int>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +98,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, buf, offsets in T.chunks(batch.column(1)):
             words = T.Words(buf, offsets)
             hashes = words.hashes(lower=False)
-            text, anchor, lo, hi = anchors(words, hashes)
+            text, anchor, lo, hi, mid = anchors(words, hashes)
             ends = pa.array(np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32))
             column = lambda x, t: pa.ListArray.from_arrays(ends, pa.array(x.astype(t)))
             raw = buf.tobytes()
             sha = [hashlib.sha256(b" ".join(raw[s:e].split())).hexdigest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             c1, c2 = _digests(words, hashes)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(c1), pa.array(c2), pa.array(sha), column(anchor.view(np.int64), np.int64), column(lo, np.int32), column(hi, np.int32)], names=["doc_id", "n_words", "c1", "c2", "sha", "anchor", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(c1), pa.array(c2), pa.array(sha), column(anchor.view(np.int64), np.int64), column(lo, np.int32), column(hi, np.int32), column(mid, np.int32)], names=["doc_id", "n_words", "c1", "c2", "sha", "anchor", "lo", "hi", "mid"])
 
 
 def _same(words: T.Words, hashes: np.ndarray, batch: pa.RecordBatch, a: int) -> np.ndarray:
@@ -129,23 +132,49 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "doc_id", "c1", "c2", "lo", "words"])
 
 
+_BLOCKS = "b1 long, b2 long, doc_id long, c1 long, c2 long, at int, w1 array<long>, w2 array<long>"
+
+
 def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows to (w1, w2, doc_id, c1, c2, at): hashes of all windows of the anchors."""
+    """Rows (doc_id, text, c1, c2, anchor, lo, hi, mid) to blocks of windows: hash of the block, document,
+    first window, and hashes of its windows. Blocks end at multiples of `BLOCK` before the anchor."""
     for batch in batches:
         for a, b, buf, offsets in T.chunks(batch.column(1)):
             words = T.Words(buf, offsets)
             hashes = words.hashes(lower=False)
-            same = _same(words, hashes, batch, a)
-            both = [T.window_hashes(hashes, WINDOW, seed).view(np.int64) for seed in (20, 21)]
-            parts = []
-            for i in np.flatnonzero(same).tolist():
-                key = [batch.column(k)[a + i].as_py() for k in (0, 2, 3)]
-                for lo, hi in zip(*(batch.column(k)[a + i].as_py() for k in (5, 6))):
-                    parts.append((key, np.arange(lo, hi + 1), int(words.ptr[i])))
-            at = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            where = np.concatenate([p[1] + p[2] for p in parts]) if parts else np.zeros(0, np.int64)
-            keys = [np.concatenate([np.full(len(p[1]), p[0][k], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0][where], both[1][where], *keys, at.astype(np.int32))], names=["w1", "w2", "doc_id", "c1", "c2", "at"])
+            rows = np.flatnonzero(_same(words, hashes, batch, a))
+            lists = [[batch.column(k)[a + int(i)].as_py() for i in rows] for k in (5, 6, 7)]
+            row = np.repeat(rows, [len(x) for x in lists[0]])
+            lo, hi, mid = (np.array([v for x in one for v in x], np.int64) for one in lists)
+            n = hi - lo + 1
+            run = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - (np.cumsum(n) - n)[run] + lo[run]
+            place = (mid[run] - at) // BLOCK
+            new = np.ones(len(at), bool)
+            new[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1])
+            first = np.flatnonzero(new)
+            ends = np.append(first, len(at))
+            where = at + words.ptr[:-1][row[run]] if len(at) else at
+            both = [T.window_hashes(hashes, WINDOW, seed)[where] for seed in (20, 21)] if len(at) else [np.zeros(0, np.uint64)] * 2
+            size = np.diff(ends).astype(np.uint64)
+            # first and last window span the block's words
+            names = [T.mix(w[first] * T._STEP[50] + w[ends[1:] - 1] * T._STEP[51] + size).view(np.int64) for w in both] if len(at) else [np.zeros(0, np.int64)] * 2  # noqa: SLF001
+            owner = pa.array(row[run[first]] + a if len(at) else np.zeros(0, np.int64))
+            keys = [batch.column(k).take(owner) for k in (0, 2, 3)]
+            arrays = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(w.view(np.int64))) for w in both]
+            yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), *keys, pa.array(at[first].astype(np.int32)), *arrays], names=["b1", "b2", "doc_id", "c1", "c2", "at", "w1", "w2"])
+
+
+def _hot_repeats(blocks: DataFrame) -> DataFrame:
+    """(doc_id, c1, c2, begin, stop) of repeated windows in blocks, from min-aggregates of documents."""
+    least = blocks.groupBy("b1", "b2").agg(F.min("doc_id").alias("least"))
+    known = blocks.join(least, ["b1", "b2"])
+    copies = known.where("doc_id > least").select("doc_id", "c1", "c2", F.col("at").alias("begin"), (F.col("at") + F.size("w1") - 1 + WINDOW).cast("int").alias("stop"))
+    own = known.where("doc_id = least").select("doc_id", "c1", "c2", "at", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w"))
+    windows = written(own.select("w.w1", "w.w2", "doc_id", "c1", "c2", (F.col("at") + F.col("k")).cast("int").alias("at")), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+    deep = windows.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "c1", "c2", F.col("at").alias("begin"), (F.col("at") + WINDOW).cast("int").alias("stop"))
+    return copies.unionByName(deep)
 
 
 def deep_nodes(rows: list[tuple[int, bytes]], depth: int = WINDOW) -> list[list[tuple[int, int]]]:
@@ -253,20 +282,18 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = long_ones.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     least = long_ones.join(classes, key)
     copies = least.where("doc_id > rep").select("doc_id", "c1", "c2", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
-    heads = least.where("doc_id = rep").select("doc_id", "c1", "c2", F.explode(F.arrays_zip("anchor", "lo", "hi")).alias("x")).select("doc_id", "c1", "c2", "x.*").distinct()
+    heads = least.where("doc_id = rep").select("doc_id", "c1", "c2", F.explode(F.arrays_zip("anchor", "lo", "hi", "mid")).alias("x")).select("doc_id", "c1", "c2", "x.*").distinct()
     shared = heads.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", (F.col("n") > GROUP).alias("big"))
-    found = cut(heads.join(shared, "anchor").groupBy("doc_id", "c1", "c2", "big").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("x")))
+    found = cut(heads.join(shared, "anchor").groupBy("doc_id", "c1", "c2", "big").agg(F.collect_list(F.struct("anchor", "lo", "hi", "mid")).alias("x")))
 
     def with_text(big: bool) -> DataFrame:
-        return _texts_of(docs, found.where(F.col("big") == big)).select("doc_id", "text", "c1", "c2", F.col("x.anchor").alias("anchor"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
+        return _texts_of(docs, found.where(F.col("big") == big)).select("doc_id", "text", "c1", "c2", F.col("x.anchor").alias("anchor"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("x.mid").alias("mid"))
 
     contexts = map_arrow(with_text(False), _contexts, "anchor long, doc_id long, c1 long, c2 long, lo int, words binary")
     repeats = map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo"), _subtrees, _REPEATS)
     if found.where("big").limit(1).count():
-        windows = written(map_arrow(with_text(True), _full_depth, "w1 long, w2 long, doc_id long, c1 long, c2 long, at int"), "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
-        deep = windows.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "c1", "c2", F.col("at").alias("begin"), (F.col("at") + WINDOW).cast("int").alias("stop"))
-        repeats = repeats.unionByName(deep)
+        blocks = written(map_arrow(with_text(True), _full_depth, _BLOCKS), "blocks")
+        repeats = repeats.unionByName(_hot_repeats(blocks))
     spans = cut(repeats.groupBy("doc_id", "c1", "c2").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
     some = map_arrow(_texts_of(docs, spans).select("doc_id", "text", "c1", "c2", "spans"), _own(_remove), "doc_id long, c1 long, c2 long, n_removed long, kept string")
     return scan.select("doc_id", "n_words", "c1", "c2", "sha"), copies.unionByName(some.dropDuplicates(["doc_id", "c1", "c2"]))
@@ -302,6 +329,6 @@ def passage_report(docs: DataFrame) -> DataFrame:
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """All rows; `text` of documents with repeats is their kept words joined by spaces. Needs unique doc_id."""
     _, removed = repeated_passages(docs)
-    removed = removed.select(F.col("doc_id").alias("_d"), F.col("kept").alias("_kept"))
-    out = docs.join(removed, docs["doc_id"].cast("long") == removed["_d"], "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    removed = cut(removed.select(F.col("doc_id").alias("removed_id"), F.col("kept").alias("removed_kept")))
+    out = docs.join(removed, docs["doc_id"].cast("long") == removed["removed_id"], "left")
+    return out.select(*[F.coalesce(removed["removed_kept"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
