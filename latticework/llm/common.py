@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -76,6 +77,16 @@ def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(kernel, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files and checkpoints of finished rounds.
+
+    It drops what the driver no longer refers to, but only after a garbage collection there, which a
+    driver with little to do may not start for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two 64-bit hashes; together they identify a value among 10^12 others for all purposes."""
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), *cols).alias("h2")]

@@ -5,15 +5,17 @@ cells, and coordinate k is the least pi over the shingles' cells after turning t
 Two permutations thus give all `K` coordinates.
 
 Candidates: documents that agree in one of `BANDS` bands of `ROWS` coordinates. A pair at similarity
-0.75 is missed with probability (1 - 0.75^4)^32 = 5e-6. Equal shingle sets are collapsed first, so a
-group of copies is one node however large it is. In each bucket every member is first compared with
-the bucket's least member only, which takes links in proportion to members; where that leaves a
-bucket with members of several components, pairs between components are compared as well. Buckets
-too large for that are split by a second band (a pair at 0.75 shares another one with probability
-1 - 8e-6), compared with the least member again, and only what is still mixed gets pairs.
-
-Pairs whose signatures agree in fewer than `AGREE` of 128 coordinates are dropped before texts are
-read (at 0.75, 96 are expected with deviation 4.9); all others are confirmed on full shingle sets.
+0.75 is missed with probability (1 - 0.75^4)^40 = 3e-7. Equal shingle sets are collapsed first, so a
+group of copies is one node however large it is. In each bucket every member is compared with the
+bucket's least member only, first for a few bands, then for all bands where the two are not in one
+component yet (and signatures allow a link: 95 of 160 four-bit coordinates, where 122 are expected at
+0.75 with deviation 5.3); so these links grow with members.
+
+Buckets that still hold several components are compared whole: up to `CAP` members meet in one task,
+which finds all intersections of their full sets as a matrix product and returns a spanning forest of
+the links, never pairs. Larger buckets are cut: if all but few members are in one component, those few
+go to every part of the others; else members meet again by pairs of their large buckets (a pair that
+shares no smaller bucket shares two large ones or more), and at the last level by pairs of parts.
 
 Edge cases. Null or blank text: empty set, linked with nothing. Rows with one doc_id are one document.
 Null doc_id: its row comes back with null component_id, kept, linked with nothing. Empty table: empty
@@ -26,25 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as T
-from .common import cut, drop_written, map_arrow, written
+from .common import cut, drop_written, map_arrow, release, written
 from .components import components
 
-K, ROWS = 128, 4
+K, ROWS = 160, 4
 BANDS = K // ROWS
-AGREE = 66
+AGREE = 95
 SHINGLE = 5
-#: Buckets of up to this many members may compare pairs between components.
-CAP = 64
+#: Bands whose buckets are compared with their least members first.
+FIRST_BANDS = 6
+#: Members of a bucket that meet in one task.
+CAP = 400
+LEVELS = 2
 #: Up to this many document ids (long) go to all executors, to fetch their texts without a shuffle.
 BROADCAST_IDS = 200_000
 #: Members that one task compares with one leader in a row.
 SALT = 1000
 _TURN = np.uint32(0x9E3779B1)
-_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"
+_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>"
 
 
 def signatures(flat: np.ndarray, ptr: np.ndarray, k: int = K) -> np.ndarray:
@@ -80,6 +85,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates in a 64-bit number."""
+    low = (sig & np.uint32(15)).astype(np.uint64).reshape(len(sig), K // 16, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -89,38 +100,25 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(sizes)
             own = np.append(ptr[:-1][full], len(flat))
             digests = [np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)]
-            bands, sig8 = [None] * (b - a), [None] * (b - a)
+            keys, sig = np.zeros((0, BANDS), np.int64), np.zeros((0, K // 16), np.int64)
             if len(full):
                 for digest, seed in zip(digests, (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5)):
                     digest[full] = np.add.reduceat(T.mix(flat ^ np.uint64(seed)), own[:-1]).view(np.int64)
-                sig = signatures(flat, own)
-                keys, low = band_keys(sig), (sig & np.uint32(255)).astype(np.uint8)
-                at = np.full(b - a, -1)
-                at[full] = np.arange(len(full))
-                width = np.zeros(b - a + 1, np.int32)
-                np.cumsum((sizes > 0) * BANDS, out=width[1:])
-                band_column = pa.ListArray.from_arrays(pa.array(width), pa.array(keys.reshape(-1)))
-                for i, x in zip(full.tolist(), low):
-                    sig8[i] = x.tobytes()
-            else:
-                band_column = pa.array([[]] * (b - a), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]), band_column, pa.array(sig8, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+                coordinates = signatures(flat, own)
+                keys, sig = band_keys(coordinates), packed(coordinates)
+            lists = []
+            for values in (keys, sig):
+                ends = np.zeros(b - a + 1, np.int32)
+                np.cumsum((sizes > 0) * values.shape[1], out=ends[1:])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1))))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]), *lists], names=["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set digest, band keys and one byte of each coordinate, for every row."""
+    """doc_id, n_shingles, set digest, band keys and four bits of each coordinate, for every row."""
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _sign, _SCHEMA)
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, K) for i in (2, 3))
-        keep = (x == y).sum(1) >= AGREE
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
-
-
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets have a Jaccard similarity of 0.75 or more."""
     if not len(x) or not len(y):
@@ -148,39 +146,186 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a < b) that are linked, checked on full shingle sets."""
-    sig = signed.select(F.col("doc_id"), "sig")
-    pairs = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"))
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are linked, checked on full shingle sets."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("n"))
     dealt = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"), "b")
-    wanted = dealt.select(F.col("a").alias("leader"), "salt", F.lit(1).alias("role"), F.col("b").alias("id")).unionByName(dealt.select(F.col("a").alias("leader"), "salt", F.lit(0).alias("role"), F.col("a").alias("id")).distinct())
-    wanted = cut(wanted)
-    ids = wanted.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"], "left_semi")
-    rows = wanted.join(docs.withColumnRenamed("doc_id", "id"), "id").select("leader", "salt", "role", "id", "text")
-    return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role").mapInArrow(_verify, "a long, b long")
+    row = lambda role, c: dealt.select(F.col("a").alias("leader"), "salt", F.lit(role).alias("role"), F.col(c).alias("id"))
+    wanted = cut(row(1, "b").unionByName(row(0, "a").distinct()))
+    rows = _texts_of(docs, wanted).select("leader", "salt", "role", "id", "text")
+    return map_arrow(rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role"), _verify, "a long, b long")
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether sizes and signatures allow a similarity of 0.75."""
+    fold = lambda v: v.bitwiseOR(F.shiftrightunsigned(v, 1))
+    differ = F.lit(0)
+    for i in range(K // 16):
+        v = F.get(f"{x}_sig", F.lit(i)).bitwiseXOR(F.get(f"{y}_sig", F.lit(i)))
+        v = fold(v)
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        differ = differ + F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+    size = (4 * F.least(f"{x}_n", f"{y}_n")) >= (3 * F.greatest(f"{x}_n", f"{y}_n"))
+    return size & (differ <= K - AGREE)
+
+
+_ATTRIBUTES = ["n_shingles", "sig"]
+
+
+def _named(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col("id").alias(prefix), F.col("n_shingles").alias(f"{prefix}_n"), F.col("sig").alias(f"{prefix}_sig"), *[F.col(c).alias(f"{prefix}_{c}") for c in more])
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, id, n_shingles, sig) with their component."""
+    out = members.select("key", "id", *_ATTRIBUTES).join(labels, members["id"] == labels["node"], "left")
+    return out.select("key", "id", *_ATTRIBUTES, F.coalesce("component", "id").alias("component"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(a, b): each member with the least one of its bucket."""
-    least = members.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(least.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    """(a, b): members with the least one of their bucket, if alike and not in one component yet."""
+    least = members.groupBy("key").agg(F.min(F.struct("id", *_ATTRIBUTES, "component")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "m.*")
+    pairs = _named(least, "a", "component").join(_named(members, "b", "component"), "key")
+    return pairs.where((F.col("b") > F.col("a")) & (F.col("a_component") != F.col("b_component")) & _alike("a", "b")).select("a", "b").distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, id, component, size) of buckets that hold several components."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    return members.select("key", "id", "component").join(mixed, "key")
+
+
+def _tasks(mixed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(task, id) rows, each task of about `CAP` members at most, and members of buckets left to split."""
+    small = mixed.where(F.col("size") <= CAP).select(F.col("key").alias("task"), "id")
+    large = mixed.where(F.col("size") > CAP)
+    # the component that most members are in, and how many are not
+    counts = large.groupBy("key", "component", "size").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"))
+    large = cut(large.join(major, "key").withColumn("few", F.col("size") - F.col("most")))
+    half = max(1, CAP // 2)
+    parts = F.ceil(F.col("size") / half).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    task = lambda *cols: F.xxhash64(F.lit("part"), "key", *cols).alias("task")
+    few = large.where(F.col("few") <= half)
+    out = small.unionByName(few.where("component = major").select(task(own), "id")).unionByName(few.where("component <> major").withColumn("q", F.explode(every)).select(task("q"), "id"))
+    many = large.where(F.col("few") > half)
+    if last:
+        pairs = many.withColumn("p", own).withColumn("q", F.explode(every))
+        out = out.unionByName(pairs.select(task(F.least("p", "q"), F.greatest("p", "q")), "id"))
+    return out, many
+
+
+def _bucket_links(sets: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sorted sets: exact intersections by blocks of columns."""
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    column = np.unique(column, return_inverse=True)[1] if len(column) else column
+    both = np.zeros((n, n), np.float32)
+    width = 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (a, a + width))
+        block = np.zeros((n, min(width, int(column[j - 1]) - a + 1)), np.float32)
+        block[owner[i:j], column[i:j] - a] = 1
+        both += block @ block.T
+    sizes = np.array([len(x) for x in sets], np.float64)
+    linked = 100 * both.astype(np.float64) >= 75 * (sizes[:, None] + sizes[None, :] - both)
+    out, todo = [], np.ones(n, bool)
+    for start in range(n):
+        if todo[start]:
+            todo[start], stack = False, [start]
+            while stack:
+                i = stack.pop()
+                near = np.flatnonzero(linked[i] & todo)
+                todo[near] = False
+                stack += near.tolist()
+                out += [(ids[i], ids[j]) for j in near.tolist()]
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, id, text) sorted by task; a task's members may span batches."""
+    now, sets, ids = None, [], []
 
+    def batch_of(links):
+        links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        tasks, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        out = []
+        for a, b, buf, offsets in T.chunks(batch.column(2)):
+            flat, ptr = T.shingle_sets(buf, offsets, SHINGLE)
+            for i in range(a, b):
+                if tasks[i] != now:
+                    out += _bucket_links(sets, ids) if len(sets) > 1 else []
+                    now, sets, ids = tasks[i], [], []
+                sets.append(flat[ptr[i - a] : ptr[i - a + 1]].copy())
+                ids.append(names[i])
+        yield batch_of(out)
+    yield batch_of(_bucket_links(sets, ids) if len(sets) > 1 else [])
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, component, n) of buckets that hold several components."""
-    rows = members.join(labels, members["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    return rows.join(mixed, "key")
 
+def _split(large: DataFrame) -> DataFrame:
+    """Members (key, id) of large buckets again, by pairs of their buckets."""
+    own = large.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("k"))
+    pairs = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
+    return own.select("id", F.explode(F.array_distinct(pairs)).alias("key"))
 
-def _between(rows: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components."""
-    x, y = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+
+def _several(keyed: DataFrame) -> DataFrame:
+    """Rows (key, ...) whose key stands twice or more."""
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (id, ...) with texts; few wanted ids pick the texts before the shuffle."""
+    ids = wanted.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"], "left_semi")
+    return wanted.join(docs.withColumnRenamed("doc_id", "id"), "id")
+
+
+class _Links:
+    """Confirmed links so far, the pairs that were tested, and the components they make."""
+
+    def __init__(self, links: DataFrame, texts: DataFrame):
+        self.texts, self.links, self.tested = texts, cut(links), None
+        self.labels = cut(components(self.links))
+
+    def test(self, pairs: DataFrame) -> None:
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        if not pairs.limit(1).count():
+            return
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        self._add(_confirmed(pairs, self.texts))
+
+    def compare(self, tasks: DataFrame) -> None:
+        """Link all members of each task (task, id); tasks of the same members run once."""
+        tasks = cut(tasks.distinct())
+        same = tasks.groupBy("task").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        once = same.groupBy("members", "n").agg(F.min("task").alias("task")).select("task")
+        wanted = cut(tasks.join(once, "task", "left_semi"))
+        if not wanted.limit(1).count():
+            return
+        rows = _texts_of(self.texts, wanted).select("task", "id", "text")
+        self._add(map_arrow(rows.repartition("task").sortWithinPartitions("task", "id"), _compare, "a long, b long"))
+
+    def _add(self, links: DataFrame) -> None:
+        self.links = cut(self.links.union(links).distinct())
+        release(self.links.sparkSession)
+        self.labels = cut(components(self.links))
+        release(self.links.sparkSession)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -190,33 +335,28 @@ def near_classes(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     named = cut(full.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep"))
-    reps = signed.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "d1", "d2"])
-    all_members = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = all_members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = written(all_members.join(shared, "key", "left_semi").select("key", "id").distinct(), "members")
-    texts = docs.where("doc_id IS NOT NULL")
+    reps = full.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    banded = _several(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")))
+    attributes = reps.select(F.col("doc_id").alias("id"), *_ATTRIBUTES)
+    members = written(banded.join(attributes, "id"), "members")
+    release(members.sparkSession)
     # texts that share a doc_id are one document
     least = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     one = named.join(least, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
-    tested = cut(_stars(members))
-    links = cut(_confirmed(tested, signed, texts).union(one))
-    labels = cut(components(links))
-    # what the stars left apart
-    mixed = cut(_mixed(members, labels))
-    small = _between(mixed.where(F.col("n") <= CAP))
-    large = mixed.where(F.col("n") > CAP)
-    if large.limit(1).count():
-        wide = large.select("key", "id").join(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("other")), "id").where("other <> key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
-        wide = cut(wide)
-        more = cut(_stars(wide).join(tested, ["a", "b"], "left_anti"))
-        links = cut(links.union(_confirmed(more, signed, texts)))
-        labels = cut(components(links))
-        tested = cut(tested.union(more))
-        small = small.union(_between(_mixed(wide, labels)))
-    rest = cut(small.distinct().join(tested, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(_confirmed(rest, signed, texts))
-        labels = cut(components(links))
+
+    state = _Links(one, docs.where("doc_id IS NOT NULL"))
+    state.test(_stars(_labelled(members.where(F.col("band") < FIRST_BANDS), state.labels)))
+    state.test(_stars(_labelled(members, state.labels)))
+    rows = members
+    for level in range(LEVELS):
+        tasks, large = _tasks(cut(_mixed(_labelled(rows, state.labels))), level == LEVELS - 1)
+        state.compare(tasks)
+        if level == LEVELS - 1 or not large.limit(1).count():
+            break
+        rows = written(_several(_split(large)).join(attributes, "id"), "split")
+        release(rows.sparkSession)
+        state.test(_stars(_labelled(rows, state.labels)))
+    labels = state.labels
     drop_written(members)
     # least document of each component, through the classes of equal sets
     final = named.join(labels, named["rep"] == labels["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
@@ -228,5 +368,5 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents without near copies of a document with a lesser doc_id; all columns stay."""
-    gone = near_classes(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = cut(near_classes(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
