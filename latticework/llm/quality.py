@@ -11,7 +11,8 @@ the result does not depend on partitioning. The half nearest to a fit is found f
 distances in geometric bins: bounded state per group, no sort, and no group in one task.
 
 Edge cases. Null text: no words, base rules fail. Null language or source: a group of their own.
-Groups below `MIN_GROUP` base-passing rows, where a covariance says nothing, reject no row.
+Groups below `MIN_GROUP` base-passing rows, where a covariance of their own says nothing, are judged
+by the estimate of their language, and if that has too few rows as well, by that of all rows.
 Repeated rows are judged alike. Empty table: empty result. Extra columns are ignored by
 `text_statistics` (it returns only its own) and kept by `quality_filter`.
 """
@@ -28,7 +29,7 @@ from .common import SPACE_CLASS, SPACES, cut, words_of, written
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Groups below this many base-passing rows have no estimate.
+#: Groups below this many base-passing rows have no estimate of their own.
 MIN_GROUP = 60
 #: Share of a group that the estimate must cover.
 COVERAGE = 0.75
@@ -158,14 +159,39 @@ def mcd_fit(vectors: DataFrame, group: list[str], coverage: float = COVERAGE, st
     return cut(fit)
 
 
+def _estimates(vectors: DataFrame, **mcd) -> DataFrame:
+    """One estimate for each (_lang, _source) of `vectors`; `_wide` tells those of a wider group.
+
+    The estimate of all rows has no least size, so every group gets one.
+    """
+    group = ["_lang", "_source"]
+    own = mcd_fit(vectors, group, **mcd)
+    out = own.withColumn("_wide", F.lit(False))
+    few = cut(vectors.select(*group).distinct().join(own.select(*group), group, "left_anti"))
+    if not few.limit(1).count():
+        return out
+    by_lang = mcd_fit(vectors.join(_per_group(cut(few.select("_lang").distinct())), "_lang", "left_semi"), ["_lang"], **mcd)
+    wide = few.join(by_lang, "_lang")
+    rest = cut(few.join(by_lang, "_lang", "left_anti"))
+    if rest.limit(1).count():
+        of_all = mcd_fit(vectors.withColumn("_all", F.lit(0)), ["_all"], **(mcd | {"min_group": 1}))
+        wide = wide.unionByName(rest.crossJoin(F.broadcast(of_all.drop("_all"))))
+    return cut(out.unionByName(wide.withColumn("_wide", F.lit(True))))
+
+
 def judge(stats: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
-    """Adds base_failed, d2 (null without an estimate) and kept to statistics rows."""
+    """Adds base_failed, d2, d2_wide and kept to statistics rows.
+
+    d2 is the distance from the estimate of the row's own group; where that is too small for one, d2 is
+    null and d2_wide is the distance from the wider estimate that judges the row.
+    """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = _vector(stats).withColumns({"base_failed": failed, "_lang": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
     group = ["_lang", "_source"]
-    fit = mcd_fit(rows.where(~F.col("base_failed")).select(*group, *DIMS), group, **mcd)
+    fit = _estimates(rows.where(~F.col("base_failed")).select(*group, *DIMS), **mcd)
     out = _distance(rows.join(_per_group(fit), group, "left"))
-    return out.select(*stats.columns, "base_failed", F.round("d2", 6).alias("d2"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
+    own, wide = F.when(~F.col("_wide"), F.round("d2", 6)), F.when(F.col("_wide"), F.round("d2", 6))
+    return out.select(*stats.columns, "base_failed", own.alias("d2"), wide.alias("d2_wide"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
 def quality_scores(docs: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:

@@ -112,6 +112,25 @@ def test_outliers_against_numpy(spark):
     assert all(got[1000 + i].kept and got[1000 + i].d2 is None for i in range(5))
 
 
+def test_small_groups_are_judged_by_wider_estimates(spark):
+    rows = []
+    for i in range(160):
+        text = prose(i, 40 + 5 * (i % 40))
+        if i % 20 == 0:
+            text = " ".join(w + "###" for w in text.split())
+        rows.append((i, text, "en" if i < 140 else "de", f"s{i % 7}", 1))  # 20 rows a source, and 20 rows of a language
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality.quality_scores(docs).collect()}
+    z = {r.doc_id: [r[d] for d in quality.DIMS] for r in quality._vector(quality.text_statistics(docs)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    for ids, pool in ((range(140), range(140)), (range(140, 160), range(160))):
+        d2 = brute_mcd(np.array([z[i] for i in pool], float), quality.COVERAGE, quality.C_STEPS)[[pool.index(i) for i in ids]]
+        assert np.allclose([got[i].d2_wide for i in ids], d2, rtol=1e-4, atol=1e-4)
+        assert all(got[i].d2 is None and got[i].kept == (i % 20 != 0) for i in ids)
+    few = quality.quality_scores(docs.where("doc_id BETWEEN 1 AND 30")).collect()
+    assert [r.doc_id for r in few if not r.kept] == [20] and all(r.d2_wide is not None for r in few)
+
+
 def test_quality_edges(clashing, no_docs):
     out = quality.quality_filter(clashing)
     assert out.columns == clashing.columns
