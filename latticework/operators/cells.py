@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 
 def bin_cells(df: DataFrame, x: str, y: str, cell_width: float, cell_height: float, keys: list[str] = ()) -> DataFrame:
     """Non-empty cells of a uniform grid with their counts: keys, row, col, n."""
@@ -198,14 +199,63 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], channels: list[str], de
     return both.agg(F.count_if(covered).alias("covered"), F.count_if(covered & off).alias("violations"), F.count_if(~covered).alias("uncovered"))
 
 
+#: Anchors that go to all executors as one array; more are found through grid cells.
+RIG = 256
+
+
+def _nearest_by_cells(points: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """x, y, near for every place of points: its k nearest anchors, by joins on the 3 x 3 cells around.
+
+    All anchors nearer than a cell's side are in these cells; places with fewer than k of them look
+    again in cells twice as wide, at last in one that holds everything. Of anchors at one place only
+    the k least ids can be among the nearest.
+    """
+    same = W.partitionBy("ax", "ay").orderBy("anchor")
+    rig = cut(anchors.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n"))
+    left = cut(points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct())
+    bounds = lambda df, x, y: df.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    n, *of_rig = bounds(rig, "ax", "ay")
+    m, *of_left = bounds(left, "x", "y")
+    if not m:
+        of_left = of_rig
+    x0, x1, y0, y1 = [f(float(a), float(b)) for f, a, b in zip((min, max, min, max), of_rig, of_left)]
+    span = max(x1 - x0, y1 - y0)
+    side = max(float(of_rig[1] - of_rig[0]), float(of_rig[3] - of_rig[2])) * (k / n) ** 0.5 or span / 64 or 1.0
+    steps = F.array(*[F.struct(F.lit(dy).cast("long").alias("dy"), F.lit(dx).cast("long").alias("dx")) for dy, dx in _around(1)])
+    order = W.partitionBy("x", "y").orderBy("d", "anchor")
+    found = None
+    while True:
+        cell = lambda c, low: F.floor((F.col(c) - low) / side).cast("long")  # noqa: B023, E731
+        look = left.withColumn("_s", F.explode(steps)).select("x", "y", (cell("y", y0) + F.col("_s.dy")).alias("row"), (cell("x", x0) + F.col("_s.dx")).alias("col"))
+        pairs = look.join(rig.withColumns({"row": cell("ay", y0), "col": cell("ax", x0)}), ["row", "col"])
+        pairs = pairs.select("x", "y", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")).alias("d"), "anchor")
+        best = pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        near = best.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("d", "anchor"))).alias("near"))
+        whole = side > span
+        if not whole:  # a little less than the side, as cells are found by division
+            near = near.where((F.size("near") == k) & (F.element_at("near", -1)["d"] < side * 0.999999))
+        near = cut(near)
+        found = near if found is None else found.unionByName(near)
+        if whole:
+            return found
+        left = cut(left.join(near.select("x", "y"), ["x", "y"], "left_anti"))
+        if not left.limit(1).count():
+            return found
+        side *= 2
+
+
 def nearest_weights(points: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """point, anchor, weight: the k nearest anchors of each point (ties by anchor id), inverse distance.
 
-    points (point, x, y); anchors (anchor, ax, ay), a rig of bounded size: it is sent whole to where
-    points are, as one array, and the k best are picked there without a shuffle of pairs.
+    points (point, x, y); anchors (anchor, ax, ay), coordinates not null. Up to `RIG` anchors are sent
+    whole to where points are, as one array, and the k best are picked there without a shuffle of pairs.
     """
-    rig = anchors.agg(F.sort_array(F.collect_list(F.struct("anchor", "ax", "ay"))).alias("rig"))
-    near = F.slice(F.array_sort(F.transform("rig", lambda a: F.struct(F.hypot(F.col("x") - a["ax"], F.col("y") - a["ay"]).alias("d"), a["anchor"].alias("anchor")))), 1, k)
+    if anchors.limit(RIG + 1).count() <= RIG:
+        rig = anchors.agg(F.sort_array(F.collect_list(F.struct("anchor", "ax", "ay"))).alias("rig"))
+        near = F.slice(F.array_sort(F.transform("rig", lambda a: F.struct(F.hypot(F.col("x") - a["ax"], F.col("y") - a["ay"]).alias("d"), a["anchor"].alias("anchor")))), 1, k)
+        found = points.join(F.broadcast(rig)).select("point", near.alias("near"))
+    else:
+        found = points.join(_nearest_by_cells(points, anchors, k), ["x", "y"]).select("point", "near")
     inverse = lambda n: F.when(n["d"] == 0, F.lit(1e6)).otherwise(1 / n["d"])
-    rows = points.join(F.broadcast(rig)).select("point", near.alias("near")).withColumn("total", F.aggregate("near", F.lit(0.0), lambda s, n: s + inverse(n)))
+    rows = found.withColumn("total", F.aggregate("near", F.lit(0.0), lambda s, n: s + inverse(n)))
     return rows.select("point", "total", F.explode("near").alias("n")).select("point", F.col("n.anchor").alias("anchor"), (inverse(F.col("n")) / F.col("total")).alias("weight"))

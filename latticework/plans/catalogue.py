@@ -361,8 +361,22 @@ def manifest_join(spark, sf_dir):
          k AS (SELECT *, CASE WHEN d = 0 THEN 1e6 ELSE 1 / d END AS w FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) <= 2)
     SELECT c_custkey AS point, s_suppkey AS anchor, round(w / sum(w) OVER (PARTITION BY c_custkey), 6) AS weight FROM k""")
 def knn_weights(spark, sf_dir):
+    return _knn(spark, sf_dir, table(spark, sf_dir, "supplier").where("s_suppkey <= 20"))
+
+
+@query("knn_weights_all", """
+    WITH a AS (SELECT s_suppkey, s_acctbal AS ax, s_nationkey * 400.0 AS ay FROM supplier),
+         p AS (SELECT c_custkey, s_suppkey, sqrt((c_acctbal - ax) ** 2 + (c_nationkey * 400.0 - ay) ** 2) AS d FROM customer, a),
+         k AS (SELECT *, CASE WHEN d = 0 THEN 1e6 ELSE 1 / d END AS w FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) <= 2)
+    SELECT c_custkey AS point, s_suppkey AS anchor, round(w / sum(w) OVER (PARTITION BY c_custkey), 6) AS weight FROM k""")
+def knn_weights_all(spark, sf_dir):
+    """Every supplier is an anchor; `knn_weights` keeps the short rig that its SQL names."""
+    return _knn(spark, sf_dir, table(spark, sf_dir, "supplier"))
+
+
+def _knn(spark, sf_dir, suppliers: DataFrame) -> DataFrame:
     points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 400.0).alias("y"))
-    anchors = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("anchor"), F.col("s_acctbal").alias("ax"), (F.col("s_nationkey") * 400.0).alias("ay"))
+    anchors = suppliers.select(F.col("s_suppkey").alias("anchor"), F.col("s_acctbal").alias("ax"), (F.col("s_nationkey") * 400.0).alias("ay"))
     return C.nearest_weights(points, anchors, 2).select("point", "anchor", F.round("weight", 6).alias("weight"))
 
 
