@@ -523,27 +523,44 @@ def understanding(spark, sf_dir):
 # ---- kernels on images drawn from tables (no SQL form; tests compare them with brute force)
 
 
+#: Part keys whose blocks are drawn together, blocks on one image, and places along its side, 4 pixels each.
+_RANGE, _BLOCKS, _SIDE = 3200, 128, 16
+
+
 def _drawn(spark, sf_dir) -> DataFrame:
-    """One 64 x 64 image for each brand of parts: a 3 x 3 block for every (size, number) cell."""
+    """A 3 x 3 block for every part, on 64 x 64 images of `_BLOCKS` parts of one brand and range of keys.
+
+    Blocks lie by (size, number), or in the next free place, with a clear pixel between them; so every
+    part is a sprite of its own, and tasks and images stay bounded however many parts a brand has.
+    """
     import numpy as np
     import pyarrow as pa
 
     from ..session import ship
 
     def draw(table):
-        rgba = np.zeros((64, 64, 4), np.uint8)
-        for size, key in zip(table.column("p_size").to_pylist(), table.column("p_partkey").to_pylist()):
-            y, x = size % 60, key % 60
-            rgba[y : y + 3, x : x + 3] = (size * 5 % 256, key % 256, 90, 255)
         schema = pa.schema([("source", pa.string()), ("status", pa.string()), ("stage", pa.string()), ("code", pa.string()), ("message", pa.string()), ("has_alpha", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()), ("byte_size", pa.int64()), ("data", pa.binary())])
-        row = {"source": table.column("p_brand")[0].as_py(), "status": "ok", "has_alpha": True, "width": 64, "height": 64, "byte_size": rgba.nbytes, "data": rgba.tobytes()}
-        return pa.Table.from_pylist([row], schema)
+        table = table.sort_by([("p_partkey", "ascending"), ("p_size", "ascending")])
+        brand, part, parts = table.column("p_brand")[0].as_py(), table.column("part")[0].as_py(), list(zip(table.column("p_size").to_pylist(), table.column("p_partkey").to_pylist()))
+        out = []
+        for k in range(0, len(parts), _BLOCKS):
+            rgba, used = np.zeros((4 * _SIDE, 4 * _SIDE, 4), np.uint8), set()
+            for size, key in parts[k : k + _BLOCKS]:
+                place = (size % _SIDE) * _SIDE + key % _SIDE
+                while place in used:
+                    place = (place + 1) % _SIDE**2
+                used.add(place)
+                y, x = (4 * p for p in divmod(place, _SIDE))
+                rgba[y : y + 3, x : x + 3] = (size * 5 % 256, key % 256, 90, 255)
+            out.append({"source": f"{brand}-{part}-{k // _BLOCKS}", "status": "ok", "has_alpha": True, "width": 4 * _SIDE, "height": 4 * _SIDE, "byte_size": rgba.nbytes, "data": rgba.tobytes()})
+        return pa.Table.from_pylist(out, schema)
 
     from ..sources.images import IMAGE
 
     ship(spark)
-    rows = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_brand", "p_size", "p_partkey")
-    return rows.groupBy("p_brand").applyInArrow(draw, IMAGE)
+    part = F.floor(F.col("p_partkey") / _RANGE).cast("long")
+    rows = table(spark, sf_dir, "part").select("p_brand", part.alias("part"), "p_size", "p_partkey")
+    return rows.groupBy("p_brand", "part").applyInArrow(draw, IMAGE)
 
 
 @query("pack_pages")

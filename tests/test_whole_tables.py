@@ -1,11 +1,15 @@
 """Operators over whole tables, against brute force."""
 
+import json
 import math
 import random
 
 import pytest
 
 from latticework.operators import cells as C
+from latticework.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("rig", [0, 1000])
@@ -23,3 +27,17 @@ def test_nearest_weights_on_either_path(spark, monkeypatch, rig):
         got = C.nearest_weights(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(anchors, "anchor long, ax double, ay double"), k).collect()
         assert len(got) == len(want) and {(r.point, r.anchor) for r in got} == set(want)
         assert all(math.isclose(r.weight, want[r.point, r.anchor], rel_tol=1e-9) for r in got)
+
+
+def test_every_part_is_a_sprite(spark):
+    brands = {}
+    for r in catalogue.table(spark, SF, "part").collect():
+        brands[r.p_brand] = brands.get(r.p_brand, 0) + 1
+    sprites, listed, sources = {}, {}, set()
+    for r in catalogue.QUERIES["sprite_pipeline"](spark, SF).collect():
+        sources.add(r.source)
+        sprites[r.source.rsplit("-", 2)[0]] = sprites.get(r.source.rsplit("-", 2)[0], 0) + (r.status == "ok" and r.id is not None)
+    for r in catalogue.QUERIES["manifest_json"](spark, SF).collect():
+        listed[r.source.rsplit("-", 2)[0]] = listed.get(r.source.rsplit("-", 2)[0], 0) + len(json.loads(r.manifest)["sprites"])
+    assert sprites == listed == brands
+    assert {r.asset for r in catalogue.QUERIES["image_report"](spark, SF).collect()} <= sources
