@@ -7,6 +7,7 @@ import random
 import pytest
 
 from latticework.operators import cells as C
+from latticework.operators import graph as G
 from latticework.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,33 @@ def test_every_part_is_a_sprite(spark):
         listed[r.source.rsplit("-", 2)[0]] = listed.get(r.source.rsplit("-", 2)[0], 0) + len(json.loads(r.manifest)["sprites"])
     assert sprites == listed == brands
     assert {r.asset for r in catalogue.QUERIES["image_report"](spark, SF).collect()} <= sources
+
+
+def union_find(edges):
+    up = {}
+
+    def root(a):
+        while up.setdefault(a, a) != a:
+            up[a] = a = up[up[a]]
+        return a
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {a: root(a) for a in list(up)}
+
+
+def test_components_of_all_edges_against_union_find(spark):
+    edges = [(r.l_partkey * 2, r.l_suppkey * 2 + 1) for r in catalogue.table(spark, SF, "lineitem").collect()]
+    got = catalogue.QUERIES["graph_components_all"](spark, SF).collect()
+    assert {r.node: r.component for r in got} == union_find(edges) and len(got) == len({n for e in edges for n in e})
+
+
+def test_components_with_hubs_and_chains(spark):
+    rng = random.Random(9)
+    edges = [(5000, i) for i in range(300)] + [(7000 + i, 7001 + i) for i in range(150)] + [(7150, 17)]
+    edges += [(rng.randrange(8000, 9000), rng.randrange(8000, 9000)) for _ in range(450)]
+    edges = [(a, b) for a, b in edges if a != b]
+    rng.shuffle(edges)
+    got = G.components(spark.createDataFrame(edges + edges[:50], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == union_find(edges) and len(got) == len({n for e in edges for n in e})
