@@ -46,22 +46,23 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def hierarchy_problems(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, problem) of a forest (id, parent): `missing-parent`, or `cycle` for nodes that reach themselves.
+def hierarchy_problems(nodes: DataFrame) -> DataFrame:
+    """(id, problem) of a forest (id, parent): `missing-parent`, or `cycle` for nodes whose ancestors run into one.
 
-    Ancestors are found by pointer doubling: log2(max_depth) joins, whatever the depth.
+    Ancestors are found by pointer doubling: a node that has one more steps above it than there are
+    nodes with a parent meets some node twice. So log2(nodes) joins do, each of a row a node.
     """
     nodes = nodes.select("id", "parent")
     ids = nodes.select(F.col("id").alias("_id")).distinct()
     missing = nodes.where("parent IS NOT NULL").join(ids, nodes["parent"] == ids["_id"], "left_anti").select("id", F.lit("missing-parent").alias("problem"))
-    reach = nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("up")).distinct()
+    above = cut(nodes.where("id IS NOT NULL AND parent IS NOT NULL").select("id", F.col("parent").alias("up")).distinct())
+    n = above.select("id").distinct().count()
     steps = 1
-    while steps < max_depth:
-        right = reach.select(F.col("id").alias("_mid"), F.col("up").alias("_far"))
-        further = reach.join(right, reach["up"] == right["_mid"]).select("id", F.col("_far").alias("up"))
-        reach = cut(reach.union(further).distinct())
+    while steps <= n and above.limit(1).count():
+        right = above.select(F.col("id").alias("_mid"), F.col("up").alias("_far"))
+        above = cut(above.join(right, above["up"] == right["_mid"]).select("id", F.col("_far").alias("up")).distinct())
         steps *= 2
-    return missing.union(reach.where("id = up").select("id", F.lit("cycle").alias("problem")).distinct())
+    return missing.union(above.select("id", F.lit("cycle").alias("problem")).distinct())
 
 
 def runs(df: DataFrame, keys: list[str], position: str, min_size: int = 1) -> DataFrame:

@@ -72,3 +72,21 @@ def test_components_with_hubs_and_chains(spark):
     rng.shuffle(edges)
     got = G.components(spark.createDataFrame(edges + edges[:50], "a long, b long")).collect()
     assert {r.node: r.component for r in got} == union_find(edges) and len(got) == len({n for e in edges for n in e})
+
+
+def test_hierarchy_tails_and_long_cycles(spark):
+    parent = {"a": "b", "b": "c", "c": "a", "d": "a", "e": "d", "self": "self", "root": None, "lost": "ghost", "kid": "lost"}
+    parent |= {f"r{i}": f"r{(i + 1) % 100}" for i in range(100)} | {f"t{i}": f"t{i + 1}" if i < 69 else "r5" for i in range(70)}
+    parent |= {f"x{i}": f"x{i + 1}" if i < 89 else None for i in range(90)}
+
+    def runs_into_cycle(at):
+        seen = set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = parent.get(at)
+        return at is not None
+
+    want = {(i, "cycle") for i in parent if runs_into_cycle(i)} | {("lost", "missing-parent")}
+    got = [tuple(r) for r in G.hierarchy_problems(spark.createDataFrame(list(parent.items()), "id string, parent string")).collect()]
+    assert len(got) == len(want) == 177 and set(got) == want
+    assert G.hierarchy_problems(spark.createDataFrame([("a", None), ("b", "a")], "id string, parent string")).count() == 0
