@@ -202,7 +202,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> Da
     n = max(1, -(-rest.count() // island))
     place = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n))
     dealt = rest.withColumn("island", place)
-    packed = cut(dealt.groupBy("island").applyInPandas(_pack(capacity, 1), _PACKED))
+    # several islands evolve on after migration and when their loose bins meet; a single one does it here
+    packed = cut(dealt.groupBy("island").applyInPandas(_pack(capacity, 1 if n > 1 else GENERATIONS), _PACKED))
     # elites migrate around the ring: patterns of full bins, a bounded number from each island
     if n > 1:
         full = packed.where(F.col("fill") == capacity).where(F.pmod("bin", F.lit(8)) == 0)

@@ -75,6 +75,13 @@ def test_packing_on_many_islands(spark, monkeypatch):
     assert len(rows) == 3000 and max(load.values()) <= 1024 and len(load) <= bound * 1.02 + 1
 
 
+def test_a_single_island_evolves(spark):
+    sizes = np.random.default_rng(10).integers(150, 700, 60).tolist()
+    assert len(packing.evolve(sorted(sizes, reverse=True), 0, generations=1)) == 28
+    rows = packing.pack(spark.createDataFrame([(i, 0, 0, s, i) for i, s in enumerate(sizes)], packing._PIECES)).collect()
+    assert len({r.sequence_id for r in rows}) == 27 == -(-sum(sizes) // 1024)
+
+
 def test_genetic_operators():
     rng = np.random.default_rng(0)
     sizes = [int(x) for x in rng.integers(200, 520, 300)]
