@@ -14,8 +14,9 @@ component yet (and signatures allow a link: 95 of 160 four-bit coordinates, wher
 Buckets that still hold several components are compared whole: up to `CAP` members meet in one task,
 which finds all intersections of their full sets as a matrix product and returns a spanning forest of
 the links, never pairs. Larger buckets are cut: if all but few members are in one component, those few
-go to every part of the others; else members meet again by pairs of their large buckets (a pair that
-shares no smaller bucket shares two large ones or more), and at the last level by pairs of parts.
+go to every part of the others; else members meet first by pairs of their large buckets, which links
+most of them, and then large buckets that still hold several components by pairs of parts, so that a
+pair whose only common bucket is a large one meets too.
 
 Edge cases. Null or blank text: empty set, linked with nothing. Rows with one doc_id are one document.
 Null doc_id: its row comes back with null component_id, kept, linked with nothing. Empty table: empty
@@ -347,15 +348,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     state = _Links(one, docs.where("doc_id IS NOT NULL"))
     state.test(_stars(_labelled(members.where(F.col("band") < FIRST_BANDS), state.labels)))
     state.test(_stars(_labelled(members, state.labels)))
-    rows = members
+    rows, cut_up = members, None
     for level in range(LEVELS):
-        tasks, large = _tasks(cut(_mixed(_labelled(rows, state.labels))), level == LEVELS - 1)
+        tasks, large = _tasks(cut(_mixed(_labelled(rows, state.labels))), False)
         state.compare(tasks)
+        if level == 0:
+            cut_up = cut(large.select("key").distinct())
         if level == LEVELS - 1 or not large.limit(1).count():
             break
         rows = written(_several(_split(large)).join(attributes, "id"), "split")
         release(rows.sparkSession)
         state.test(_stars(_labelled(rows, state.labels)))
+    if cut_up.limit(1).count():
+        # pairs of buckets only bring together what shares two of them: what is still apart meets whole
+        rest = _labelled(members.join(cut_up, "key", "left_semi"), state.labels)
+        state.compare(_tasks(cut(_mixed(rest)), True)[0])
     labels = state.labels
     drop_written(members)
     # least document of each component, through the classes of equal sets

@@ -154,3 +154,17 @@ def test_deep_nodes():
     rows = [(5, b"a b c d"), (3, b"z a b c"), (4, b"b c d")]
     found = sorted(sorted(n) for n in substring.deep_nodes(rows, 3))
     assert found == [[(0, 0), (1, 1)], [(0, 1), (2, 0)]]
+
+
+def test_pair_whose_only_common_bucket_is_large(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sign = minhash.sign
+    # one bucket holds all documents, two more the odd and the even ones; all are larger than CAP
+    keys = F.array(F.lit(7).cast("long"), F.when(F.col("doc_id") % 2 == 0, F.lit(8)).otherwise(F.lit(9)).cast("long"))
+    monkeypatch.setattr(minhash, "sign", lambda docs: sign(docs).withColumn("bands", keys))
+    monkeypatch.setattr(minhash, "CAP", 4)
+    text = prose(1, 100)
+    rows = [(i, prose(300 + i, 100), "en", "a", 1) for i in range(1, 21)] + [(30, text, "en", "a", 1), (31, text + " x", "en", "a", 1)]
+    got = {r.doc_id: r.component_id for r in minhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i for i in range(1, 21)} | {30: 30, 31: 30}
