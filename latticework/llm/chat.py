@@ -6,9 +6,10 @@ with its reference, its position and the tokens it expands to. Turns are then ma
 
     <|im_start|>role\\n content <|im_end|>\\n
 
-In contents a backslash is doubled and `<|` is written `<\\|`; so no text can open or close a turn,
-and both are read back exactly. In roles `%`, line feeds and `<|` are percent-encoded. The loss mask is
-a list of (start, length) code-point spans of the formatted string: assistant contents.
+In contents a backslash is doubled and `<|` is written `<\\|`, also where its two signs come from two
+text parts; so no text can open or close a turn, and all are read back exactly. In roles `%`, line
+feeds and `<|` are percent-encoded. The loss mask is a list of (start, length) code-point spans of the
+formatted string: assistant contents.
 
 Edge cases. Null text: empty; null content: no parts. Null role: empty. Null conversation id: one
 conversation of its own. Rows with equal turn: ordered by role, then content; repeated rows all stay.
@@ -64,18 +65,27 @@ def _tokens(p: Column) -> Column:
     )
 
 
-def _visit(p: Column) -> Column:
+def _said(p: Column) -> Column:
+    return F.coalesce(p["text"], F.lit(""))
+
+
+def _visit(p: Column, before: Column) -> Column:
+    """A part as it is written; `before` is the part before it, null for the first."""
     media = p["type"].isin("image", "audio", "document")
-    return F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).when(media, F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(p["type"], F.lit("null")))))
+    split = F.coalesce((before["type"] == "text") & _said(before).endswith("<") & _said(p).startswith("|"), F.lit(False))
+    text = F.concat(F.when(split, F.lit("\\")).otherwise(""), escape(_said(p)))
+    return F.when(p["type"] == "text", text).when(media, F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(F.raise_error(F.concat(F.lit("unknown part type: "), F.coalesce(p["type"], F.lit("null")))))
 
 
 def flatten(messages: DataFrame, content: str = "content") -> DataFrame:
     """Adds `flat` (text with placeholders), `attachments` (in order) and `expanded_tokens`."""
     parts = F.coalesce(F.col(content), F.array().cast(f"array<{PART}>"))
     media = F.filter(parts, lambda p: p["type"] != "text")
+    # without empty texts, so that what stands before a text is the part before it
+    full = F.filter(parts, lambda p: ~F.coalesce((p["type"] == "text") & (_said(p) == ""), F.lit(False)))
     return messages.withColumns(
         {
-            "flat": F.array_join(F.transform(parts, _visit), ""),
+            "flat": F.array_join(F.transform(full, lambda p, i: _visit(p, F.get(full, i - 1))), ""),
             "attachments": F.transform(media, lambda p, i: F.struct(i.cast("int").alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))),
             "expanded_tokens": F.aggregate(media, F.lit(0).cast("long"), lambda s, p: s + _tokens(p)),
         }

@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="latticework-")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -92,6 +94,19 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), *cols).alias("h2")]
 
 
+def row_key(*cols: Column) -> list[Column]:
+    """128-bit hash of a row's columns in which null and empty differ, as `_r1` and `_r2`."""
+    safe = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in cols]
+    return [h.alias(n) for h, n in zip(hash128(F.struct(*safe)), ("_r1", "_r2"))]
+
+
+def without(df: DataFrame, gone: DataFrame, *cols: Column, most: int = 200_000) -> DataFrame:
+    """df without the rows whose `row_key(*cols)` is in `gone` (_r1, _r2), which goes out if it is small by count."""
+    gone = cut(gone.select("_r1", "_r2").distinct())
+    own = row_key(*cols)
+    return df.join(F.broadcast(gone) if gone.count() <= most else gone, (own[0] == gone["_r1"]) & (own[1] == gone["_r2"]), "left_anti")
+
+
 def words_of(text: Column) -> Column:
     """All words `[^\\x20\\x09-\\x0D]+` of a text, in order; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), "")

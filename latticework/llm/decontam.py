@@ -10,8 +10,8 @@ Texts are not shuffled and the result has one row for each (document, item) matc
 executors in blocks of about `BLOCK_CHARS` characters, with one pass over the texts for each block, so
 what is broadcast is bounded however large the benchmark is.
 
-Edge cases. Null or empty text or item: no match. Items below `MIN_CHARS` characters are no evidence
-and are left out. Repeated items match under each id; repeated documents each match. Null ids are kept
+Edge cases. Null or empty text or item: no match. Items below `SHORT` characters match whole words
+only, as their letters stand inside others by chance. Repeated items match under each id; repeated documents each match. Null ids are kept
 as null. Empty tables: empty result. Extra columns are ignored, and kept by `decontaminate`.
 """
 
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import map_arrow, row_key, without
 
 RATE = 0.08
-MIN_CHARS = 20
+#: Shorter items match whole words only.
+SHORT = 20
 BLOCK_CHARS = 4_000_000
-_SCHEMA = "doc_id long, item_id long, begin int, stop int, distance int, budget int"
+_SCHEMA = "doc_id long, item_id long, begin int, stop int, distance int, budget int, _r1 long, _r2 long"
 
 
 def normal(text: str | None) -> str:
@@ -77,7 +78,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, text, int(len(text) * rate)) for i, text in items]
+        # a short item keeps a space on both sides, as texts do, so that it matches whole words only
+        self.items = [(i, f" {text} " if len(text) < SHORT else text, int(len(text) * rate)) for i, text in items]
         self.patterns: dict[int, Pattern] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, budget) in enumerate(self.items):
@@ -93,6 +95,7 @@ class Matcher:
         """(item id, begin, end, distance, budget): the best match of each item that is within budget."""
         if not self.items:
             return
+        text = f" {text} "
         found: dict[int, list[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for n, at in where:
@@ -107,8 +110,9 @@ class Matcher:
                 distance, end = self.patterns[n].best(text[a:b])
                 if distance <= budget and (best is None or distance < best[1]):
                     best = (a + end, distance)
-            if best:
-                yield item_id, max(0, best[0] - len(item)), best[0], best[1], budget
+            if best:  # places without the spaces
+                stop = min(best[0] - 1 - (len(item) > 1 and item[0] == " "), len(text) - 2)
+                yield item_id, max(0, stop - len(item.strip())), stop, best[1], budget
 
     @staticmethod
     def _windows(starts: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
@@ -126,34 +130,40 @@ def _kernel(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, rate)
         for batch in batches:
-            rows = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = [[] for _ in range(8)]
+            for doc, text, r1, r2 in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 for match in matcher.matches(normal(text.as_py())):
-                    for column, value in zip(rows, (doc, *match)):
+                    for column, value in zip(rows, (doc, *match, r1, r2)):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["doc_id", "item_id", "begin", "stop", "distance", "budget"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            names = ["doc_id", "item_id", "begin", "stop", "distance", "budget", "_r1", "_r2"]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=names)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, item_id, begin, stop (places in the normalised text; begin is stop less the item's length),
-    distance, budget: every item that stands in a text within its budget."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _matches(rows: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    """_SCHEMA for rows (doc_id, text, _r1, _r2)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     out = None
     for b in range(blocks):
         block = [(r.item_id, normal(r.text)) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        block = sorted(((i, t) for i, t in block if len(t) >= min_chars), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        hits = map_arrow(docs, _kernel(block, rate), _SCHEMA)
+        block = sorted(((i, t) for i, t in block if t), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        hits = map_arrow(rows, _kernel(block, rate), _SCHEMA)
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, begin, stop (places in the normalised text; begin is stop less the item's length),
+    distance, budget: every item that stands in a text within its budget."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.lit(0).cast("long").alias(c) for c in ("_r1", "_r2")])
+    return _matches(rows, benchmark, rate).drop("_r1", "_r2")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item; all columns stay. Null doc_ids stay."""
-    hit = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct())
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["hit_id"], "left_anti")
+    """The documents that match no item; all columns stay. Rows go by their text, whatever their doc_id."""
+    hits = _matches(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key(F.col("text"))), benchmark, RATE)
+    return without(docs, hits, docs["text"])
