@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, line_dedup, minhash, packing, quality, rollup, substring, toxicity, url_filter
-from .common import table, written
+from .common import cut, drop_written, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,27 +40,20 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after five batches: all documents in; the first batch again (ignored); copies of earlier
     documents out; token counts revised to those with an end token, as a new tokenizer version, for
     documents in English; a late replay of the deletes (ignored)."""
-    docs = table(spark, sf_dir, "documents")
-    rows = written(rollup.counted(docs, tokenizer_path(), "byte_bpe_50k").join(_first_texts(docs), "doc_id", "left"), "counts")
-    rows = rows.withColumn("copy", F.coalesce("copy", F.lit(False)))
+    rows = written(rollup.counted(table(spark, sf_dir, "documents"), tokenizer_path(), "byte_bpe_50k"), "counts")
     store = rollup.new_rollup(spark)
-    copies, rest = rows.where("copy"), rows.where("NOT copy AND lang = 'en'")
+    texts = cut(rollup.copies(rows))
+    rest = texts.where("lang = 'en'").withColumn("n", F.col("n_rows") - F.col("n_copies"))
     store.commit("load", rollup.inserts(rows))
     store.commit("load", rollup.inserts(rows))
-    store.commit("drop-copies", rollup.deletes(copies))
+    store.commit("drop-copies", rollup.deletes(texts, "n_copies"))
     ended = rest.withColumns({"tokenizer": F.lit("byte_bpe_50k+end"), "n_tokens": F.col("n_tokens") + 1})
-    store.commit("end-token", rollup.revisions(rest, ended))
-    store.commit("drop-copies", rollup.deletes(copies))
+    store.commit("end-token", rollup.revisions(rest, ended, "n"))
+    store.commit("drop-copies", rollup.deletes(texts, "n_copies"))
+    drop_written(rows)
     return store.totals()
 
 
-def _first_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, copy: whether a lesser doc_id has the same text."""
-    keyed = docs.select("doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("h"))
-    first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(first, "h").select("doc_id", (F.col("doc_id") > F.col("first")).alias("copy")).distinct()
-
-
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir
+from .common import cut, hash128, map_arrow, shared_dir
 from .tokens import Encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -51,22 +51,38 @@ def _count_kernel(path: str):
 
 
 def counted(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens, n_chars for each row."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    out = map_arrow(rows, _count_kernel(tokenizer), "n_tokens long, n_chars long, doc_id long, source string, lang string")
+    """doc_id, source, lang, tokenizer, n_tokens, n_chars and a 128-bit hash (h1, h2) of the text for each row."""
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *hash128(F.coalesce(text, F.lit(""))))
+    out = map_arrow(rows, _count_kernel(tokenizer), "n_tokens long, n_chars long, doc_id long, source string, lang string, h1 long, h2 long")
     return out.withColumn("tokenizer", F.lit(version))
 
 
-def inserts(rows: DataFrame) -> DataFrame:
-    return rows.select(*KEYS, F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_chars")
+def copies(rows: DataFrame) -> DataFrame:
+    """Counted rows by text, source and language: keys, tokens and characters of one of them, `n_rows`, and
+    `n_copies`, how many of them repeat a text. Of each text one row is no copy, that with the least
+    (doc_id, source, language); so rows may share a doc_id, and a frequent text is combined before it moves.
+    """
+    text = ["h1", "h2"]
+    groups = rows.groupBy(*text, *KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("doc_id")).alias("_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_chars").alias("n_chars"))
+    groups = cut(groups.withColumn("_first", F.struct("_id", *KEYS)))
+    first = groups.groupBy(*text).agg(F.min("_first").alias("_least"))
+    out = groups.join(first, text)
+    return out.select(*KEYS, "n_tokens", "n_chars", "n_rows", (F.col("n_rows") - F.col("_first").eqNullSafe(F.col("_least")).cast("long")).alias("n_copies"))
 
 
-def deletes(rows: DataFrame) -> DataFrame:
-    return rows.select(*KEYS, F.lit(-1).cast("long").alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"), (-F.col("n_chars")).alias("n_chars"))
+def inserts(rows: DataFrame, times: str | None = None) -> DataFrame:
+    """Facts that add rows; `times` names a column with how many rows each one stands for."""
+    n = F.col(times) if times else F.lit(1).cast("long")
+    return rows.select(*KEYS, n.alias("n_docs"), (n * F.col("n_tokens")).alias("n_tokens"), (n * F.col("n_chars")).alias("n_chars"))
 
 
-def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
-    return deletes(old).unionByName(inserts(new))
+def deletes(rows: DataFrame, times: str | None = None) -> DataFrame:
+    return inserts(rows, times).select(*KEYS, *[(-F.col(v)).alias(v) for v in VALUES])
+
+
+def revisions(old: DataFrame, new: DataFrame, times: str | None = None) -> DataFrame:
+    return deletes(old, times).unionByName(inserts(new, times))
 
 
 def _sums(facts: DataFrame) -> DataFrame:
