@@ -9,8 +9,10 @@ bound, total tokens over capacity, which a packing often reaches at once.
 
 Between two epochs elites migrate: as pieces of equal length are interchangeable, an island sends its
 neighbour the length patterns of its best-filled bins, and the neighbour builds those bins from its
-own pieces. Badly filled bins of neighbouring islands are packed again together, level by level,
-until one group is left; so waste does not grow with the number of islands.
+own pieces. Badly filled bins of neighbouring islands are packed again together, about `REPACK` pieces
+at a time, level by level, until one group is left, nothing can be gained, or a level saves less than
+one bin in a hundred (texts that cannot share a sequence); so waste does not grow with the number of
+islands, and no group with the table.
 
 Edge cases. Null or empty text: a piece of length 1 (the end token). Null doc_id and repeated rows:
 each row is packed on its own. Empty table: empty result. Extra columns are ignored.
@@ -36,8 +38,8 @@ from .tokens import Encoder
 CAPACITY = 1024
 END_ID = 2
 ISLAND = 4096
-#: Islands whose badly filled bins are packed again together.
-FAN_IN = 64
+#: Pieces of badly filled bins that are packed again together, at most about.
+REPACK = 16_384
 POPULATION, GENERATIONS = 4, 6
 #: A bin with this much room or less is well filled.
 SLACK = 2
@@ -193,6 +195,12 @@ def _repack(capacity: int):
     return run
 
 
+def _amounts(packed: DataFrame) -> tuple[int, int, int]:
+    """Pieces, tokens and bins of packed pieces; a bin's lengths add up to its fill."""
+    r = packed.agg(F.count(F.lit(1)), F.sum("length"), F.sum(F.col("length") / F.col("fill"))).first()
+    return r[0], r[1] or 0, round(r[2] or 0)
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for rows of `pieces`."""
     ship(parts.sparkSession)
@@ -211,20 +219,25 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, island: int = ISLAND) -> Da
         guests = patterns.select(F.pmod(F.col("island") + 1, F.lit(n)).alias("island"), "pattern")
         packed = cut(packed.groupBy("island").cogroup(guests.groupBy("island")).applyInPandas(_repack(capacity), _PACKED))
     done, level = [], 0
+    loose = F.col("fill") < capacity - 8
     while n > 1:
-        loose = F.col("fill") < capacity - 8
+        count, tokens, bins = _amounts(packed.where(loose))
+        if bins <= -(-tokens // capacity):
+            break
+        groups = min(max(1, -(-count // REPACK)), n - 1)
         done.append(packed.where(~loose).withColumn("level", F.lit(level)))
-        n = -(-n // FAN_IN)
-        level += 1
-        left = packed.where(loose).withColumn("island", F.floor(F.col("island") / FAN_IN)).drop("bin", "fill")
+        left = packed.where(loose).withColumn("island", F.floor(F.col("island") * groups / n)).drop("bin", "fill")
         packed = cut(left.groupBy("island").applyInPandas(_pack(capacity, GENERATIONS), _PACKED))
+        n, level = groups, level + 1
+        if bins - _amounts(packed)[2] < bins / 100:
+            break
     done.append(packed.withColumn("level", F.lit(level)))
     binned = done[0]
     for d in done[1:]:
         binned = binned.unionByName(d)
     at = W.partitionBy("level", "island", "bin").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32", "start").rowsBetween(W.unboundedPreceding, -1)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    packed = binned.select(*names, (F.col("level").cast("long") * (1 << 58) + F.col("island") * (1 << 14) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(at), F.lit(0)).cast("long").alias("offset"))
+    packed = binned.select(*names, (F.col("level").cast("long") * (1 << 56) + F.col("island") * (1 << 24) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(at), F.lit(0)).cast("long").alias("offset"))
     # full pieces: negative numbers, distinct among themselves
     alone = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
