@@ -1,17 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns each word into a symbol: insult, threat, target, negation, report, clause
-end or other. Three transducers then mark insults and threats by their clause: `negated` if a negation
-stands shortly before, `reported` if a verb of speech precedes, `targeted` if a target stands near.
-They are composed into one machine; each clause runs through it, and its outputs (insult or threat,
-with any of the three marks) are counted. The weights of the outputs and of the bias are fitted by
-penalised logistic regression, around the grammar's default weights, on labelled rows that are not held
-out; so is the insult lexicon, words and word stems that stand in toxic texts and hardly in others.
+A lexical transducer turns each word into a symbol: insult word, threat verb, intent, target, negation,
+verb of speech, clause end or other. Clauses with an insult word or a threat verb then run through the
+grammar, which is composed of these transducers, each a machine of its own:
+
+    threat     a threat verb behind an intent becomes a threat; without one it is an ordinary word
+    negation   marks hits shortly behind a negation
+    report     marks hits behind a verb of speech
+    target     marks hits near a target
+    phrase     marks hits with another word of the clause beside them
+
+The first three look left. Targets and phrases count on either side, so their machines run over the
+clause from left to right and, composed apart, back from right to left. A clause matches a pattern if it
+holds an insult in a phrase or an insult with a target, or a threat with a target; a word that stands
+alone, a threat verb without intent or a threat without target match nothing. What counts are matched
+clauses, by pattern, targeted, negated and reported; the weights of these outputs and of the bias are
+fitted by penalised logistic regression, around the grammar's default weights, on labelled rows that
+are not held out. So is the insult lexicon: words and word stems that stand in toxic texts and hardly in
+others.
 
 Fitting reads `MAX_TRAIN` labelled rows at most (the least by hash of doc_id). Scoring reads every whole
 text once, without a shuffle. Labels, lang, source and doc_id are no inputs of a score.
 
-Edge cases. Null, empty or blank text: no clause, the score of the bias. No usable labels: default
+Edge cases. Null, empty or blank text: no clause, the score of the bias. Labelled rows that share a
+doc_id: the least text is learned from, all are scored. No usable labels: default
 weights and seed words. Repeated labels of one doc_id: the largest counts. Null doc_id: not held out,
 scored. Empty table: empty result. Extra columns are ignored.
 """
@@ -22,6 +34,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +48,25 @@ MAX_TRAIN = 20_000
 FOLDS = 5
 #: Stems are prefixes of these lengths.
 STEMS = (4, 5, 6)
-MAX_LEXICON = 2_000
-#: Candidates counted in clean texts.
-MAX_CANDIDATES = 20_000
 #: A unit must stand in this share of the toxic texts at least.
 MIN_SHARE = 0.005
 #: Least shingles of a text that tell families of near copies.
 FAMILY = 5
 CACHE = 300_000
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = b"oihtnrb"
+OTHER, INSULT, VERB, INTENT, TARGET, NEGATION, REPORT, BREAK = b"oivwhnrb"
 SEEDS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic")
 THREATS = ("kill", "hurt", "destroy", "beat", "stab", "shoot", "burn", "punch", "töten", "tuer", "matar")
+INTENTS = ("will", "gonna", "going", "shall", "should", "must", "want", "wanna", "i'll", "we'll", "let's", "werde", "werden", "vais", "allons", "voy", "vamos")
 TARGETS = ("you", "your", "you're", "u", "he", "she", "him", "her", "they", "them", "these", "those", "du", "dich", "ihr", "sie", "tu", "toi", "vous", "ils", "tú", "te", "ustedes", "ellos")
 NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "don't", "won't", "without", "nicht", "kein", "keine", "nie", "pas", "jamais", "non", "nunca", "ni")
 REPORTS = ("said", "says", "called", "calls", "reported", "wrote", "quoted", "quote", "claimed", "sagte", "nannte", "dit", "appelle", "dijo", "llamó")
 _ENDS = ".,;:!?"
 _STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’¿¡*_#|-…"
+#: How far the scopes of an opener reach, in words.
+INTENT_REACH, NEGATION_REACH, REPORT_REACH, TARGET_REACH = 4, 3, 6, 4
+#: Marks of a hit.
+NEGATED, REPORTED, TARGETED, PHRASE = 1, 2, 4, 8
 
 
 # ---- transducers
@@ -59,76 +74,99 @@ _STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’¿¡*_#|-…"
 
 @dataclass
 class Transducer:
-    """arcs: (state, symbol) -> (next state, output symbol); 0 is the start; others copy and stay."""
+    """arcs: (state, symbol) -> (next state, output symbol); 0 is the start."""
 
-    states: int
     arcs: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def run(self, symbols: bytes) -> bytes:
+        state, out = 0, bytearray()
+        for symbol in symbols:
+            state, end = self.arcs[state, symbol]
+            out.append(end)
+        return bytes(out)
 
 
-def _alphabet(marks: int = 7) -> list[int]:
-    """All symbols: the plain ones, and insults and threats with marks added (128 + 16 a base + marks)."""
-    return [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK] + [128 + 8 * base + m for base in (0, 1) for m in range(1, marks + 1)]
+def hit(threat: bool, marks: int = 0) -> int:
+    """The symbol of an insult or a threat with marks."""
+    return 128 + 16 * threat + marks
 
 
-def marked(symbol: int, mark: int) -> int:
-    """An insult or threat with one more mark: 1 negated, 2 reported, 4 targeted."""
-    if symbol in (INSULT, THREAT):
-        return 128 + 8 * (symbol == THREAT) + mark
-    return 128 + ((symbol - 128) | mark)
+_HITS = frozenset(hit(t, m) for t in (False, True) for m in range(16))
+_ALPHABET = (OTHER, INSULT, VERB, INTENT, TARGET, NEGATION, REPORT, BREAK, *sorted(_HITS))
 
 
-def _hits() -> list[int]:
-    return [s for s in _alphabet() if s in (INSULT, THREAT) or s >= 128]
+def threats() -> Transducer:
+    """Insult words become insults, threat verbs within reach of an intent threats, others ordinary words."""
+    t = Transducer()
+    for state in range(INTENT_REACH + 1):
+        for symbol in _ALPHABET:
+            end = {INSULT: hit(False), VERB: hit(True) if state else OTHER}.get(symbol, symbol)
+            t.arcs[state, symbol] = (INTENT_REACH if symbol == INTENT else 0 if symbol == BREAK else max(0, state - 1), end)
+    return t
 
 
 def scope(opener: int, reach: int, mark: int) -> Transducer:
     """Marks hits up to `reach` symbols after an opener; a clause end closes the scope."""
-    t = Transducer(reach + 1)
+    t = Transducer()
     for state in range(reach + 1):
-        for symbol in _alphabet():
-            after = max(0, state - 1)
-            if symbol == opener:
-                t.arcs[state, symbol] = (reach, symbol)
-            elif symbol == BREAK:
-                t.arcs[state, symbol] = (0, symbol)
-            else:
-                t.arcs[state, symbol] = (after, marked(symbol, mark) if state and symbol in _hits() else symbol)
+        for symbol in _ALPHABET:
+            end = symbol | mark if state and symbol in _HITS else symbol
+            t.arcs[state, symbol] = (reach if symbol == opener else 0 if symbol == BREAK else max(0, state - 1), end)
+    return t
+
+
+def phrase() -> Transducer:
+    """Marks hits that have a word of their clause right before them."""
+    t = Transducer()
+    for state in (0, 1):
+        for symbol in _ALPHABET:
+            t.arcs[state, symbol] = (int(symbol != BREAK), symbol | PHRASE if state and symbol in _HITS else symbol)
     return t
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """b reads what a writes."""
-    out = Transducer(a.states * b.states)
-    for x in range(a.states):
-        for y in range(b.states):
-            for symbol in _alphabet():
-                x2, middle = a.step(x, symbol)
-                y2, end = b.step(y, middle)
-                out.arcs[x * b.states + y, symbol] = (x2 * b.states + y2, end)
+    """b reads what a writes; only states that are reached."""
+    number, todo, out = {(0, 0): 0}, [(0, 0)], Transducer()
+    for x, y in todo:
+        for symbol in _ALPHABET:
+            x2, middle = a.arcs[x, symbol]
+            y2, end = b.arcs[y, middle]
+            if (x2, y2) not in number:
+                number[x2, y2] = len(number)
+                todo.append((x2, y2))
+            out.arcs[number[x, y], symbol] = (number[x2, y2], end)
     return out
 
 
-def grammar() -> Transducer:
-    negation = scope(NEGATION, 3, 1)
-    report = scope(REPORT, 6, 2)
-    target = scope(TARGET, 4, 4)
-    return compose(compose(negation, report), target)
+@cache
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine that reads a clause from left to right, and the one that reads its output back."""
+    target = scope(TARGET, TARGET_REACH, TARGETED)
+    left = compose(threats(), scope(NEGATION, NEGATION_REACH, NEGATED))
+    left = compose(left, scope(REPORT, REPORT_REACH, REPORTED))
+    return compose(compose(left, target), phrase()), compose(target, phrase())
 
 
-OUTPUTS = [INSULT, *range(129, 136), THREAT, *range(137, 144)]
+#: Outputs of matched clauses: insults by three marks, threats (always targeted) by two.
+OUTPUTS = [hit(False, m) for m in range(8)] + [hit(True, m | TARGETED) for m in range(4)]
 _PLACE = {s: i for i, s in enumerate(OUTPUTS)}
 
 
+def matched(symbol: int) -> int | None:
+    """The output of a hit, if it completes a clause pattern."""
+    if symbol not in _HITS:
+        return None
+    marks = symbol & 15
+    if marks & TARGETED or (marks & PHRASE and symbol < hit(True)):
+        return symbol & ~PHRASE
+    return None
+
+
 def default_weights() -> np.ndarray:
-    """Bias, then a weight for each output symbol: marks shift the weight of the plain symbol."""
+    """Bias, then a weight for each output."""
     out = [-3.0]
     for s in OUTPUTS:
-        marks = 0 if s in (INSULT, THREAT) else (s - 128) & 7
-        base = 4.0 if s == INSULT or 128 < s < 136 else 3.0 if marks & 4 else 0.5
-        out.append(base - 2.5 * bool(marks & 1) - 2.0 * bool(marks & 2) + 1.0 * bool(marks & 4))
+        out.append(4.0 - 2.5 * bool(s & NEGATED) - 2.0 * bool(s & REPORTED) + 1.0 * bool(s & TARGETED))
     return np.array(out)
 
 
@@ -137,12 +175,11 @@ class Machine:
 
     def __init__(self, lexicon: dict[str, int]):
         self.symbols = {}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)):
+        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT), (THREATS, VERB)):
             self.symbols |= dict.fromkeys(words, symbol)
         self.words = {w for w, whole in lexicon.items() if whole}
         self.stems = {w for w, whole in lexicon.items() if not whole}
-        arcs = grammar()
-        self.table = arcs.arcs
+        self.left, self.right = grammar()
         self.cache: dict[str, bytes] = {}
 
     def symbol(self, raw: str) -> bytes:
@@ -153,32 +190,34 @@ class Machine:
             s = self.symbols.get(word, OTHER)
         return bytes((s, BREAK)) if raw[-1] in _ENDS else bytes((s,))
 
+    def clause(self, symbols: bytes) -> set[int]:
+        """The outputs that a clause matches."""
+        back = self.right.run(self.left.run(symbols)[::-1])
+        return {out for s in back if (out := matched(s)) is not None}
+
     def counts(self, text: str) -> np.ndarray | None:
-        """How often each output symbol stands in a matched clause; None if no clause matches."""
-        cache, parts = self.cache, []
+        """How many clauses match each output; None if none does."""
+        known, parts = self.cache, []
         for w in text.split():
-            s = cache.get(w)
+            s = known.get(w)
             if s is None:
                 s = self.symbol(w)
-                if len(cache) < CACHE:
-                    cache[w] = s
+                if len(known) < CACHE:
+                    known[w] = s
             parts.append(s)
         line = b"".join(parts)
-        if INSULT not in line and THREAT not in line:
+        if INSULT not in line and VERB not in line:
             return None
         out = np.zeros(len(OUTPUTS))
         for clause in line.split(bytes((BREAK,))):
-            if INSULT in clause or THREAT in clause:
-                state = 0
-                for symbol in clause:
-                    state, end = self.table[state, symbol]
-                    if end in _PLACE:
-                        out[_PLACE[end]] += 1
-        return out
+            if INSULT in clause or VERB in clause:
+                for end in self.clause(clause):
+                    out[_PLACE[end]] += 1
+        return out if out.any() else None
 
 
 def _features(counts: np.ndarray | None) -> np.ndarray:
-    """Counts saturate: the second insult tells less than the first."""
+    """Counts saturate: the second matched clause tells less than the first."""
     return np.zeros(len(OUTPUTS)) if counts is None else np.minimum(np.log2(1 + counts), 3.0)
 
 
@@ -250,7 +289,8 @@ def learn_lexicon(train: DataFrame) -> dict[str, int]:
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return dict.fromkeys(SEEDS, 1)
-    some = _support(train.where("toxic = 1"), None).where(F.col("n") >= 3).orderBy(F.desc("n"), "unit").limit(MAX_CANDIDATES).collect()
+    # units of a bounded number of texts; rarer ones could not pass below
+    some = _support(train.where("toxic = 1"), None).where(F.col("n") >= max(3.0, MIN_SHARE * toxic)).collect()
     hits = {r.unit: r.n for r in some}
     misses = {r.unit: r.n for r in _support(train.where("toxic = 0"), frozenset(hits)).collect()}
     # enough toxic texts that chance, tried on all candidates, doesn't explain their number
@@ -272,7 +312,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, int]:
             same = [t for t in stems if t.startswith(stem) and good[t] >= 0.98 * good[stem]]
             lexicon[max(same, key=len)] = 0  # the longest that stands for the same words
     for unit in sorted((u for u in good if u[0] == "="), key=lambda u: (-good[u], u)):
-        if len(lexicon) < MAX_LEXICON and not any(lexicon.get(unit[1 : 1 + n]) == 0 for n in STEMS):
+        if not any(lexicon.get(unit[1 : 1 + n]) == 0 for n in STEMS):
             lexicon[unit[1:]] = 1
     return lexicon
 
@@ -327,8 +367,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     """A model from labelled rows that are not held out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    # at most max_train ids go to the executors
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text IS NOT NULL").select("text", "toxic")
+    # at most max_train ids go to the executors; of rows that share a doc_id the least text is taken
+    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text IS NOT NULL")
+    train = train.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     train = written(train, "toxic")
     lexicon = learn_lexicon(one_of_each_family(train))
     rows = map_arrow(train, _feature_kernel(lexicon), "x array<double>, toxic int").collect()  # max_train rows at most
