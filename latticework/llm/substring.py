@@ -89,7 +89,7 @@ def _digests(words: T.Words, hashes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_SCANNED = "doc_id long, n_words long, c1 long, c2 long, sha string, anchor array<long>, lo array<int>, hi array<int>, mid array<int>"
+_SCANNED = "doc_id long, body long, n_words long, c1 long, c2 long, sha string, anchor array<long>, lo array<int>, hi array<int>, mid array<int>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = buf.tobytes()
             sha = [hashlib.sha256(b" ".join(raw[s:e].split())).hexdigest() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             c1, c2 = _digests(words, hashes)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(c1), pa.array(c2), pa.array(sha), column(anchor.view(np.int64), np.int64), column(lo, np.int32), column(hi, np.int32), column(mid, np.int32)], names=["doc_id", "n_words", "c1", "c2", "sha", "anchor", "lo", "hi", "mid"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(c1), pa.array(c2), pa.array(sha), column(anchor.view(np.int64), np.int64), column(lo, np.int32), column(hi, np.int32), column(mid, np.int32)], names=["doc_id", "body", "n_words", "c1", "c2", "sha", "anchor", "lo", "hi", "mid"])
 
 
 def _same(words: T.Words, hashes: np.ndarray, batch: pa.RecordBatch, a: int) -> np.ndarray:
@@ -273,10 +273,10 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scan, removals): scan has doc_id, n_words, c1, c2, sha of each row; removals the rows that lose
+    """(scan, removals): scan has doc_id, xxhash64 of the text (body), n_words, c1, c2, sha of each row; removals the rows that lose
     words, by (doc_id, c1, c2), with n_removed and the kept words joined by spaces."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = written(map_arrow(docs, _scan, _SCANNED), "substring")
+    scan = written(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("body")), _scan, _SCANNED), "substring")
     key = ["c1", "c2", "n_words"]
     long_ones = scan.where(f"n_words >= {WINDOW} AND doc_id IS NOT NULL")
     classes = long_ones.groupBy(*key).agg(F.min("doc_id").alias("rep"))
@@ -296,7 +296,7 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         repeats = repeats.unionByName(_hot_repeats(blocks))
     spans = cut(repeats.groupBy("doc_id", "c1", "c2").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
     some = map_arrow(_texts_of(docs, spans).select("doc_id", "text", "c1", "c2", "spans"), _own(_remove), "doc_id long, c1 long, c2 long, n_removed long, kept string")
-    return scan.select("doc_id", "n_words", "c1", "c2", "sha"), copies.unionByName(some.dropDuplicates(["doc_id", "c1", "c2"]))
+    return scan.select("doc_id", "body", "n_words", "c1", "c2", "sha"), copies.unionByName(some.dropDuplicates(["doc_id", "c1", "c2"]))
 
 
 def _own(kernel):
@@ -327,8 +327,10 @@ def passage_report(docs: DataFrame) -> DataFrame:
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:
-    """All rows; `text` of documents with repeats is their kept words joined by spaces. Needs unique doc_id."""
-    _, removed = repeated_passages(docs)
-    removed = cut(removed.select(F.col("doc_id").alias("removed_id"), F.col("kept").alias("removed_kept")))
-    out = docs.join(removed, docs["doc_id"].cast("long") == removed["removed_id"], "left")
-    return out.select(*[F.coalesce(removed["removed_kept"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    """All rows; `text` of rows with repeats is their kept words joined by spaces. Rows may share a doc_id."""
+    scan, removed = repeated_passages(docs)
+    key = ["doc_id", "c1", "c2"]
+    found = cut(scan.select(*key, F.col("body").alias("found_body")).distinct().join(removed.select(*key, F.col("kept").alias("found_kept")), key).withColumnRenamed("doc_id", "found_id").drop("c1", "c2"))
+    own = (docs["doc_id"].cast("long") == found["found_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["found_body"])
+    out = docs.join(found, own, "left")
+    return out.select(*[F.coalesce(found["found_kept"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
