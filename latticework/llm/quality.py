@@ -1,13 +1,13 @@
 """Quality rules: base rules and robust multivariate outliers, in DataFrame functions only.
 
 Every text gets a vector of statistics. Per language and source the minimum covariance determinant
-(MCD) estimates where the bulk of these vectors lies: from a deterministic robust start, C-steps
-refit mean and covariance on the half of the rows that is nearest to the last fit, which never
-raises the determinant. Rows whose Mahalanobis distance from that fit is beyond a chi-square
-quantile are rejected.
+(MCD) estimates where the bulk of these vectors lies: from three deterministic robust starts, C-steps
+refit mean and covariance on the share `COVERAGE` of the rows that is nearest to the last fit, which
+never raises the determinant; after two steps the start with the least determinant goes on. Rows whose
+Mahalanobis distance from that fit is beyond a chi-square quantile are rejected.
 
 The statistics are transformed and kept as integers (thousandths), so that all sums are exact and
-the result does not depend on partitioning. The half nearest to a fit is found from a histogram of
+the result does not depend on partitioning. The share nearest to a fit is found from a histogram of
 distances in geometric bins: bounded state per group, no sort, and no group in one task.
 
 Edge cases. Null text: no words, base rules fail. Null language or source: a group of their own.
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, cut, words_of, written
+from .common import SPACE_CLASS, SPACES, cut, drop_written, row_key, without, words_of, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -33,7 +33,10 @@ WINDOW = 5
 MIN_GROUP = 60
 #: Share of a group that the estimate must cover.
 COVERAGE = 0.75
-C_STEPS = 4
+C_STEPS, TRIAL_STEPS = 4, 2
+#: Factor that makes the covariance of the nearest `COVERAGE` right for normal rows in four dimensions:
+#: COVERAGE / P(chi-square with 6 degrees of freedom <= 5.385), 5.385 being the quantile of COVERAGE with 4.
+CONSISTENCY = 1.4864
 #: Chi-square quantile 1 - 1e-12 with 4 degrees of freedom: statistics of clean texts have heavy tails.
 CUTOFF = 61.0
 #: A statistic's standard deviation counts as this much at least (thousandths); constant ones divide by it.
@@ -98,11 +101,8 @@ def _moments() -> list[Column]:
     return one + [F.sum((F.col(a) * F.col(b)).cast("decimal(20,0)")).alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
 
 
-def _fit(sums: DataFrame, group: list[str]) -> DataFrame:
-    """Mean and Cholesky factor of the covariance, with a floor on each variance."""
-    m = F.col("m").cast("double")
-    mean = {z: F.col(f"s_{z}") / m for z in DIMS}
-    df = sums.select(*group, *[mean[z].alias(f"c_{z}") for z in DIMS], *[(F.col(f"s_{a}_{b}").cast("double") / m - mean[a] * mean[b]).alias(f"v_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
+def _cholesky(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, c_*, and the Cholesky factor l_* of the covariance v_*, with a floor on each variance."""
     for i, a in enumerate(DIMS):
         for j, b in enumerate(DIMS[: i + 1]):
             rest = reduce(lambda x, k: x + F.col(f"l_{a}_{DIMS[k]}") * F.col(f"l_{b}_{DIMS[k]}"), range(j), F.lit(0.0))
@@ -111,7 +111,15 @@ def _fit(sums: DataFrame, group: list[str]) -> DataFrame:
             else:
                 value = (F.col(f"v_{a}_{b}") - rest) / F.col(f"l_{b}_{b}")
             df = df.withColumn(f"l_{a}_{b}", value)
-    return df.select(*group, *[f"c_{z}" for z in DIMS], *[f"l_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
+    return df.select(*keys, *centre_names(), *factor_names())
+
+
+def _fit(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and Cholesky factor of the covariance, from moments."""
+    m = F.col("m").cast("double")
+    mean = {z: F.col(f"s_{z}") / m for z in DIMS}
+    covariance = [(F.col(f"s_{a}_{b}").cast("double") / m - mean[a] * mean[b]).alias(f"v_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
+    return _cholesky(sums.select(*keys, *[mean[z].alias(f"c_{z}") for z in DIMS], *covariance), keys)
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -136,27 +144,68 @@ def _per_group(params: DataFrame) -> DataFrame:
     return F.broadcast(params) if params.count() <= BROADCAST_GROUPS else params
 
 
-def mcd_fit(vectors: DataFrame, group: list[str], coverage: float = COVERAGE, steps: int = C_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def _starts(vectors: DataFrame, size: DataFrame, group: list[str]) -> DataFrame:
+    """Three starts a group, as (group, start, share, centre, factor): medians with mean deviations about
+    them; the same, but only the nearest half counts in the first step; medians with the covariance of
+    spatial signs, which tells correlations whatever the tails are."""
+    at = vectors.join(size, group)
+    length = F.sqrt(reduce(lambda x, z: x + F.pow((F.col(z) - F.col(f"m_{z}")) / F.col(f"r_{z}"), 2), DIMS, F.lit(0.0)))
+    at = at.withColumn("_length", F.when(length > 0, length))
+    sign = {z: F.coalesce(F.rint(1000 * (F.col(z) - F.col(f"m_{z}")) / F.col(f"r_{z}") / F.col("_length")), F.lit(0.0)).cast("long") for z in DIMS}
+    signs = [F.sum(sign[a] * sign[b]).alias(f"g_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
+    spread = at.groupBy(*group).agg(*[F.sum(F.abs(F.col(z) - F.col(f"m_{z}"))).alias(f"a_{z}") for z in DIMS], *signs)
+    known = cut(size.join(spread, group))
+    centre = [F.col(f"m_{z}").cast("double").alias(f"c_{z}") for z in DIMS]
+    flat = [F.greatest(F.col(f"a_{z}") / F.col("n"), F.lit(float(f))).alias(f"l_{z}_{z}") for z, f in zip(DIMS, FLOOR)]
+    flat += [F.lit(0.0).alias(f"l_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[:i]]
+    columns = [*group, "start", "share", *centre_names(), *factor_names()]
+    plain = known.select(*group, F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(COVERAGE).alias("share")), F.struct(F.lit(1).alias("start"), F.lit(0.5).alias("share")))).alias("x"), *centre, *flat).select(*group, "x.*", *centre_names(), *factor_names())
+    scaled = [(F.col(f"g_{a}_{b}") / F.col("n") * len(DIMS) / 1e6 * F.col(f"r_{a}") * F.col(f"r_{b}")).alias(f"v_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
+    signed = _cholesky(known.select(*group, *centre, *scaled), group).select(*group, F.lit(2).alias("start"), F.lit(COVERAGE).alias("share"), *centre_names(), *factor_names())
+    return plain.select(*columns).unionByName(signed.select(*columns))
+
+
+def centre_names() -> list[str]:
+    return [f"c_{z}" for z in DIMS]
+
+
+def factor_names() -> list[str]:
+    return [f"l_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
+
+
+def _c_step(vectors: DataFrame, fit: DataFrame, size: DataFrame, group: list[str]) -> DataFrame:
+    """Means and covariances of the share of rows nearest to each fit (group, start, share, ...).
+
+    Sums by bin of distance are additive: one pass gives the histogram and, for any cut of it, the moments.
+    """
+    own = [*group, "start", "share"]
+    by_bin = _distance(vectors.join(fit, group)).select(*own, *DIMS, _bin().alias("bin")).groupBy(*own, "bin").agg(*_moments())
+    before = Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    near = by_bin.withColumn("_before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(size.select(*group, "n"), group).where(F.col("_before") < F.ceil(F.col("n") * F.col("share")))
+    sums = near.groupBy(*own).agg(F.sum("m").alias("m"), *[F.sum(f"s_{z}").alias(f"s_{z}") for z in DIMS], *[F.sum(f"s_{a}_{b}").alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
+    return _fit(sums, own).withColumn("share", F.lit(COVERAGE))
+
+
+def mcd_fit(vectors: DataFrame, group: list[str], steps: int = C_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """One row a group: centre and Cholesky factor of the minimum-covariance-determinant estimate.
 
-    `group` columns must not be null.
+    All starts take `TRIAL_STEPS`, the one with the least determinant the rest. `group` columns must not
+    be null.
     """
-    size = vectors.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(z, 0.5, 1000).alias(f"m_{z}") for z in DIMS]).where(F.col("n") >= min_group)
-    size = _per_group(cut(size))
-    # start: medians and mean absolute deviations about them, without correlations
-    spread = vectors.join(size, group).groupBy(*group).agg(*[F.avg(F.abs(F.col(z) - F.col(f"m_{z}"))).alias(f"a_{z}") for z in DIMS])
-    zero = [F.lit(0.0).alias(f"l_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[:i]]
-    fit = size.join(spread, group).select(*group, *[F.col(f"m_{z}").cast("double").alias(f"c_{z}") for z in DIMS], *zero, *[F.greatest(F.round(F.col(f"a_{z}"), 3), F.lit(float(f))).alias(f"l_{z}_{z}") for z, f in zip(DIMS, FLOOR)])
-    for _ in range(steps):
-        fit = _per_group(cut(fit))
-        binned = _distance(vectors.join(fit, group)).select(*group, *DIMS, _bin().alias("bin"))
-        # sums by bin are additive too: one pass gives the histogram and, for any cut of it, the moments
-        by_bin = binned.groupBy(*group, "bin").agg(*_moments())
-        before = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        near = by_bin.withColumn("_before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(size.select(*group, "n"), group).where(F.col("_before") < F.ceil(F.col("n") * coverage))
-        sums = near.groupBy(*group).agg(F.sum("m").alias("m"), *[F.sum(f"s_{z}").alias(f"s_{z}") for z in DIMS], *[F.sum(f"s_{a}_{b}").alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
-        fit = _fit(sums, group)
-    return cut(fit)
+    quartiles = [F.percentile_approx(z, [0.25, 0.5, 0.75], 1000).alias(f"q_{z}") for z in DIMS]
+    size = vectors.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= min_group)
+    middle = [F.col(f"q_{z}")[1].alias(f"m_{z}") for z in DIMS]
+    spread = [F.greatest((F.col(f"q_{z}")[2] - F.col(f"q_{z}")[0]) / 1.349, F.lit(float(f))).alias(f"r_{z}") for z, f in zip(DIMS, FLOOR)]
+    size = _per_group(cut(size.select(*group, "n", *middle, *spread)))
+    fit = _starts(vectors, size, group)
+    for step in range(steps):
+        if step == TRIAL_STEPS:
+            size_of = F.struct(F.round(reduce(lambda x, z: x + F.log(F.col(f"l_{z}_{z}")), DIMS, F.lit(0.0)), 9), "start")
+            least = [F.min_by(c, size_of).alias(c) for c in ("share", *centre_names(), *factor_names())]
+            fit = fit.groupBy(*group).agg(F.min_by("start", size_of).alias("start"), *least)
+        fit = _c_step(vectors, _per_group(cut(fit)), size, group)
+    # the nearest rows spread less than all; this makes the estimate right for normal ones
+    return cut(fit.select(*group, *centre_names(), *[(F.col(f) * CONSISTENCY**0.5).alias(f) for f in factor_names()]))
 
 
 def _estimates(vectors: DataFrame, **mcd) -> DataFrame:
@@ -203,8 +252,12 @@ def quality_scores(docs: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
 def quality_filter(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    Rows are judged by their content, so doc_id need not be unique: the verdict is looked up by
-    doc_id, and a doc_id with several rows stays if any of its rows does.
+    Rows are judged by their text, language and source, whatever their doc_id; the rejected ones are
+    looked up by a hash of these.
     """
-    kept = cut(quality_scores(docs, cutoff).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    content = [F.col(c) for c in ("text", "lang", "source")]
+    rows = docs.select("text", "lang", "source", *row_key(*content))
+    stats = written(text_statistics(rows, keys=("lang", "source", "_r1", "_r2")), "quality")
+    out = without(docs, judge(stats, cutoff).where("NOT kept"), *[docs[c] for c in ("text", "lang", "source")])
+    drop_written(stats)
+    return out
