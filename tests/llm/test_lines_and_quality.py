@@ -70,26 +70,40 @@ def test_statistics_against_brute_force(spark):
     assert Counter((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) for g in got) == want
 
 
-def brute_mcd(x, coverage, steps):
-    """C-steps as documented, with geometric distance bins, in numpy."""
-    floor = np.array(quality.FLOOR, float)
-    center = np.array([sorted(c)[(len(c) - 1) // 2] for c in x.T], float)
-    chol = np.diag(np.maximum(np.round(np.abs(x - center).mean(0), 3), floor))
+def brute_mcd(x):
+    """Three starts, C-steps and the least determinant as documented, with geometric distance bins, in numpy."""
+    floor, n = np.array(quality.FLOOR, float), len(x)
+    low, center, high = (np.sort(x, axis=0)[int(np.ceil(p * n)) - 1] for p in (0.25, 0.5, 0.75))
+    scale = np.maximum((high - low) / 1.349, floor)
+
+    def factor(cov):
+        return np.linalg.cholesky(cov + np.diag(floor**2))
 
     def d2(center, chol):
         return (np.linalg.solve(chol, (x - center).T) ** 2).sum(0)
 
-    for _ in range(steps):
+    def step(center, chol, share):
         bins = np.clip(np.floor(np.log2(d2(center, chol) + 1e-9) * 32), -320, 1280)
-        need, total, near = int(np.ceil(len(x) * coverage)), 0, np.zeros(len(x), bool)
+        need, total, near = int(np.ceil(n * share)), 0, np.zeros(n, bool)
         for b in np.unique(bins):
             if total < need:
                 near |= bins == b
             total += (bins == b).sum()
-        center = x[near].mean(0)
-        cov = np.cov(x[near].T, bias=True) + np.diag(floor**2)
-        chol = np.linalg.cholesky(cov)
-    return d2(center, chol)
+        return x[near].mean(0), factor(np.cov(x[near].T, bias=True))
+
+    plain = np.diag(np.maximum(np.abs(x - center).mean(0), floor))
+    unit = (x - center) / scale
+    length = np.sqrt((unit**2).sum(1, keepdims=True))
+    signs = np.rint(1000 * np.divide(unit, length, out=np.zeros_like(unit), where=length > 0))
+    signed = factor(signs.T @ signs / n * 4 / 1e6 * np.outer(scale, scale))
+    found = []
+    for chol, share in ((plain, quality.COVERAGE), (plain, 0.5), (signed, quality.COVERAGE)):
+        fit = step(*step(center, chol, share), quality.COVERAGE)
+        found.append((np.log(np.diag(fit[1])).sum().round(9), len(found), fit))
+    fit = min(found)[2]
+    for _ in range(quality.C_STEPS - quality.TRIAL_STEPS):
+        fit = step(*fit, quality.COVERAGE)
+    return d2(*fit) / quality.CONSISTENCY
 
 
 def test_outliers_against_numpy(spark):
@@ -106,7 +120,7 @@ def test_outliers_against_numpy(spark):
     z = {r.doc_id: [r[d] for d in quality.DIMS] for r in quality._vector(quality.text_statistics(docs)).collect()}
     for lang in ("en", "de"):
         ids = [r[0] for r in rows if r[2] == lang and not got[r[0]].base_failed]
-        d2 = brute_mcd(np.array([z[i] for i in ids], float), quality.COVERAGE, quality.C_STEPS)
+        d2 = brute_mcd(np.array([z[i] for i in ids], float))
         assert np.allclose([got[i].d2 for i in ids], d2, rtol=1e-4, atol=1e-4)
     assert all(got[i].kept != (i % 40 == 0) for i in range(400))
     assert all(got[1000 + i].kept and got[1000 + i].d2 is None for i in range(5))
@@ -124,13 +138,19 @@ def test_small_groups_are_judged_by_wider_estimates(spark):
     z = {r.doc_id: [r[d] for d in quality.DIMS] for r in quality._vector(quality.text_statistics(docs)).collect()}
     assert not any(r.base_failed for r in got.values())
     for ids, pool in ((range(140), range(140)), (range(140, 160), range(160))):
-        d2 = brute_mcd(np.array([z[i] for i in pool], float), quality.COVERAGE, quality.C_STEPS)[[pool.index(i) for i in ids]]
+        d2 = brute_mcd(np.array([z[i] for i in pool], float))[[pool.index(i) for i in ids]]
         assert np.allclose([got[i].d2_wide for i in ids], d2, rtol=1e-4, atol=1e-4)
         assert all(got[i].d2 is None and got[i].kept == (i % 20 != 0) for i in ids)
     few = quality.quality_scores(docs.where("doc_id BETWEEN 1 AND 30")).collect()
     assert [r.doc_id for r in few if not r.kept] == [20] and all(r.d2_wide is not None for r in few)
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    good, bad = prose(1, 60), "too short"
+    docs = spark.createDataFrame([(1, good, "en", "a", 1), (1, bad, "en", "a", 1), (None, good, "en", "a", 1), (None, None, None, None, None), (2, bad, None, "a", 1)], DOCS)
+    assert Counter((r.doc_id, r.text) for r in quality.quality_filter(docs).collect()) == Counter([(1, good), (None, good)])
+
+
 def test_quality_edges(clashing, no_docs):
     out = quality.quality_filter(clashing)
     assert out.columns == clashing.columns

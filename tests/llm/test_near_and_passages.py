@@ -150,6 +150,13 @@ def test_passage_dedup_edges(spark, clashing, no_docs):
     assert substring.passage_report(no_docs).count() == 0
 
 
+def test_passage_dedup_of_repeated_ids(spark):
+    common = prose(70, 75)
+    rows = [(1, common), (2, "x " + common), (2, "a text of its own"), (2, "  x " + common), (None, common)]
+    out = substring.passage_dedup(with_all_columns(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, common), (2, "x"), (2, "a text of its own"), (2, "x"), (None, common)])
+
+
 def test_deep_nodes():
     rows = [(5, b"a b c d"), (3, b"z a b c"), (4, b"b c d")]
     found = sorted(sorted(n) for n in substring.deep_nodes(rows, 3))

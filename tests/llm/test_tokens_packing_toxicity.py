@@ -66,7 +66,7 @@ def test_packing_on_many_islands(spark, monkeypatch):
     rng = np.random.default_rng(2)
     sizes = [int(x) for x in rng.integers(1, 1024, 3000)]
     parts = spark.createDataFrame([(i, 0, 0, s, i) for i, s in enumerate(sizes)], packing._PIECES)
-    monkeypatch.setattr(packing, "FAN_IN", 4)
+    monkeypatch.setattr(packing, "REPACK", 300)
     rows = packing.pack(parts, island=200).collect()
     load = Counter()
     for r in rows:
@@ -75,6 +75,17 @@ def test_packing_on_many_islands(spark, monkeypatch):
     assert len(rows) == 3000 and max(load.values()) <= 1024 and len(load) <= bound * 1.02 + 1
 
 
+def test_pieces_that_cannot_share_a_sequence(spark, monkeypatch):
+    """Badly filled bins that nothing improves stay where they are: no group grows with the table."""
+    sizes = np.random.default_rng(3).integers(520, 1000, 6000).tolist()
+    parts = spark.createDataFrame([(i, 0, 0, s, i) for i, s in enumerate(sizes)], packing._PIECES)
+    monkeypatch.setattr(packing, "REPACK", 256)
+    rows = packing.pack(parts, island=64).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 6000 and all(r.offset == 0 for r in rows)
+    largest = max(Counter(r.sequence_id >> 24 for r in rows).values())
+    assert largest <= 2 * 256
+
+
 def test_a_single_island_evolves(spark):
     sizes = np.random.default_rng(10).integers(150, 700, 60).tolist()
     assert len(packing.evolve(sorted(sizes, reverse=True), 0, generations=1)) == 28
@@ -123,6 +134,14 @@ def test_counts(clashing, no_docs, tokenizer):
     assert rollup.counted(no_docs, queries.tokenizer_path(), "v").count() == 0
 
 
+def test_rollup_of_repeated_ids(spark, tokenizer, tmp_path):
+    rows = [(1, "a b", "en", "s"), (1, "c d", "en", "s"), (2, "a b", "en", "s"), (2, "e", "de", "t"), (3, "e", "de", "t"), (3, "f", "en", "t"), (3, "f", "en", "t"), (None, "f", "en", "t"), (None, None, None, None), (5, "", "fr", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang, r.tokenizer): r.n_docs for r in queries.op9_token_rollup(spark, str(tmp_path)).collect()}
+    # one row of each text stays: "a b" and "c d" of 1, "e" of 2, "f" without an id, and one empty one
+    assert got == {("s", "en", "byte_bpe_50k+end"): 2, ("t", "de", "byte_bpe_50k"): 1, ("t", "en", "byte_bpe_50k+end"): 1, (None, None, "byte_bpe_50k"): 1}
+
+
 def test_rollup_query_against_brute_force(spark, tokenizer):
     sf = "/root/testdata/sf0.001"
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in queries.op9_token_rollup(spark, sf).collect()}
@@ -142,17 +161,72 @@ def test_rollup_query_against_brute_force(spark, tokenizer):
 # ---- toxicity
 
 
+def plain_clauses(text, lexicon):
+    """The rules of the grammar, read as sentences: a list of the outputs that each clause matches."""
+    clauses, clause = [], []
+    for raw in (text or "").split():
+        word = raw.lower().strip(toxicity._STRIP)
+        insult = lexicon.get(word) == 1 or any(lexicon.get(word[:n]) == 0 for n in toxicity.STEMS)
+        clause.append((word, insult))
+        if raw[-1] in toxicity._ENDS:
+            clauses, clause = [*clauses, clause], []
+    out = []
+    for clause in [*clauses, clause]:
+        kind = lambda i, words: 0 <= i < len(clause) and not clause[i][1] and clause[i][0] in words  # noqa: E731, B023
+        found = set()
+        for i, (word, insult) in enumerate(clause):
+            threat = not insult and word in toxicity.THREATS and any(kind(i - d, toxicity.INTENTS) for d in range(1, 5))
+            target = any(kind(i + d, toxicity.TARGETS) for d in (-4, -3, -2, -1, 1, 2, 3, 4))
+            if (insult and (target or len(clause) > 1)) or (threat and target):
+                negated = any(kind(i - d, toxicity.NEGATIONS) for d in range(1, 4))
+                reported = any(kind(i - d, toxicity.REPORTS) for d in range(1, 7))
+                found.add(toxicity.hit(threat, negated + 2 * reported + 4 * target))
+        out.append(found)
+    return out
+
+
 def test_grammar_marks_clauses():
-    machine = toxicity.Machine({"idiot": 1, "lowe": 0})
-    at = lambda text: {s: int(n) for s, n in zip(toxicity.OUTPUTS, machine.counts(text) if machine.counts(text) is not None else np.zeros(16)) if n}
-    assert at("what an idiot") == {toxicity.INSULT: 1}
-    assert at("You are an IDIOT!") == {128 + 4: 1}
-    assert at("that is not an idiot") == {128 + 1: 1}
-    assert at("she said: idiot") == {toxicity.INSULT: 1}  # the colon ends the clause
-    assert at("she said you are no idiot") == {128 + 7: 1}
-    assert at("i will kill you") == {toxicity.THREAT: 1} and at("you they kill") == {136 + 4: 1}
-    assert at("loweich und loweischaft, low idiotic") == {toxicity.INSULT: 2}
-    assert machine.counts("nothing here") is None and machine.counts("") is None
+    insult, threat, lexicon = toxicity.hit(False), toxicity.hit(True, toxicity.TARGETED), {"idiot": 1, "lowe": 0}
+    machine = toxicity.Machine(lexicon)
+
+    def at(text):
+        counts = machine.counts(text)
+        return {} if counts is None else {s: int(n) for s, n in zip(toxicity.OUTPUTS, counts) if n}
+
+    assert at("what an idiot") == {insult: 1}
+    assert at("You are an IDIOT!") == {insult + 4: 1} and at("idiot, that; Idiot you.") == {insult + 4: 1}
+    assert at("that is not an idiot") == {insult + 1: 1}
+    assert at("she said you are no idiot") == {insult + 7: 1}
+    assert at("i will kill you") == {threat: 1} and at("you, i am going to kill them") == {threat: 1}
+    assert at("he said i will not hurt you") == {threat + 3: 1}
+    assert at("lowest sort und lowered. low idiotic") == {insult: 1}
+    # words that stand alone, verbs without intent or target
+    for text in ("idiot", "Idiot! idiot? IDIOT.", "kill", "kill you", "i will kill", "i will kill time. you", "nothing here", "", " "):
+        assert at(text) == {}
+
+
+def test_grammar_against_a_plain_interpreter():
+    lexicon = {"idiot": 1, "moron": 1, "lowe": 0}
+    machine, rng = toxicity.Machine(lexicon), random.Random(8)
+    words = ["idiot", "moron.", "lowest", "kill", "hurt,", "will", "gonna", "you", "them!", "not", "never", "said", "wrote;", "word", "other", "thing", "it.", "plain"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(14)))
+        want = Counter(x for c in plain_clauses(text, lexicon) for x in c)
+        counts = machine.counts(text)
+        assert Counter({s: int(n) for s, n in zip(toxicity.OUTPUTS, counts if counts is not None else []) if n}) == want, text
+
+
+def test_toxicity_query_against_the_interpreter(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op4_toxic_grammar(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        counts = Counter(x for c in plain_clauses(r.text, model.lexicon) for x in c)
+        z = model.weights[0] + sum(min(np.log2(1 + counts[s]), 3) * w for s, w in zip(toxicity.OUTPUTS, model.weights[1:]))
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def toxic_rows(n):
