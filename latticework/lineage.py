@@ -12,5 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latticework-"))
     return df.checkpoint(eager=True)
