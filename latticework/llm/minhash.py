@@ -5,18 +5,21 @@ cells, and coordinate k is the least pi over the shingles' cells after turning t
 Two permutations thus give all `K` coordinates.
 
 Candidates: documents that agree in one of `BANDS` bands of `ROWS` coordinates. A pair at similarity
-0.75 is missed with probability (1 - 0.75^4)^40 = 3e-7. Equal shingle sets are collapsed first, so a
-group of copies is one node however large it is. In each bucket every member is compared with the
-bucket's least member only, first for a few bands, then for all bands where the two are not in one
-component yet (and signatures allow a link: 95 of 160 four-bit coordinates, where 122 are expected at
-0.75 with deviation 5.3); so these links grow with members.
-
-Buckets that still hold several components are compared whole: up to `CAP` members meet in one task,
-which finds all intersections of their full sets as a matrix product and returns a spanning forest of
-the links, never pairs. Larger buckets are cut: if all but few members are in one component, those few
-go to every part of the others; else members meet first by pairs of their large buckets, which links
-most of them, and then large buckets that still hold several components by pairs of parts, so that a
-pair whose only common bucket is a large one meets too.
+0.75 is missed with probability (1 - 0.75^4)^40 = 3e-7. Equal shingle sets (by 128-bit digest) are
+collapsed first, so a group of copies is one node however large it is. In each bucket every member is
+compared with the bucket's least member only, where signatures allow a link (95 of 160 four-bit
+coordinates agree; 122 are expected at 0.75, with deviation 5.3); first each member with the least of
+these, then, where the two are not in one component yet, with the others. So these links grow with
+members. Links are checked on full sets of 64-bit shingle hashes.
+
+Buckets of three or more that still hold several components are compared whole, in two steps. First
+signatures alone meet, up to `CAP` members a task, and tell which members may be linked to another
+component. Then only the texts of these meet, and a task finds all intersections of their full sets as
+a matrix product and returns a spanning forest of the links, never pairs. Larger buckets are cut into
+parts: all pairs of parts meet but for those within the bucket's largest component. So every pair that
+shares any bucket is compared or connected otherwise; what grows with the square of a bucket, and only
+of its members outside the largest component, are rows of ids and signatures, never texts of members
+without a partner.
 
 Edge cases. Null or blank text: empty set, linked with nothing. Rows with one doc_id are one document.
 Null doc_id: its row comes back with null component_id, kept, linked with nothing. Empty table: empty
@@ -40,11 +43,10 @@ K, ROWS = 160, 4
 BANDS = K // ROWS
 AGREE = 95
 SHINGLE = 5
-#: Bands whose buckets are compared with their least members first.
-FIRST_BANDS = 6
 #: Members of a bucket that meet in one task.
-CAP = 400
-LEVELS = 2
+CAP = 800
+#: Copies above which a class of equal sets is sent out instead of shuffled to.
+HOT = 1000
 #: Up to this many document ids (long) go to all executors, to fetch their texts without a shuffle.
 BROADCAST_IDS = 200_000
 #: Members that one task compares with one leader in a row.
@@ -170,52 +172,101 @@ def _alike(x: str, y: str) -> Column:
     return size & (differ <= K - AGREE)
 
 
-_ATTRIBUTES = ["n_shingles", "sig"]
+def _with_attributes(rows: DataFrame, attributes: DataFrame, side: str) -> DataFrame:
+    """rows with `{side}_n` and `{side}_sig` of the document in column `side`."""
+    own = attributes.select(F.col("id").alias(side), F.col("n_shingles").alias(f"{side}_n"), F.col("sig").alias(f"{side}_sig"))
+    return rows.join(own, side)
 
 
-def _named(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
-    return rows.select("key", F.col("id").alias(prefix), F.col("n_shingles").alias(f"{prefix}_n"), F.col("sig").alias(f"{prefix}_sig"), *[F.col(c).alias(f"{prefix}_{c}") for c in more])
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one component."""
+    for side in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
+    return pairs.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, n_shingles, sig) with their component."""
-    out = members.select("key", "id", *_ATTRIBUTES).join(labels, members["id"] == labels["node"], "left")
-    return out.select("key", "id", *_ATTRIBUTES, F.coalesce("component", "id").alias("component"))
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, id, lead, component, size) of buckets of three or more that hold several components.
 
+    Of buckets with the same members one stays.
+    """
+    named = members.where("size > 2").join(labels, members["id"] == labels["node"], "left")
+    named = cut(named.select("key", "id", "lead", "size", F.coalesce("component", "id").alias("component")))
+    groups = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    once = groups.groupBy("members", "n").agg(F.min("key").alias("key")).select("key")
+    return cut(named.join(once, "key", "left_semi"))
 
-def _stars(members: DataFrame) -> DataFrame:
-    """(a, b): members with the least one of their bucket, if alike and not in one component yet."""
-    least = members.groupBy("key").agg(F.min(F.struct("id", *_ATTRIBUTES, "component")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "m.*")
-    pairs = _named(least, "a", "component").join(_named(members, "b", "component"), "key")
-    return pairs.where((F.col("b") > F.col("a")) & (F.col("a_component") != F.col("b_component")) & _alike("a", "b")).select("a", "b").distinct()
 
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members (key, id, component, size) of buckets that hold several components."""
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return members.select("key", "id", "component").join(mixed, "key")
-
-
-def _tasks(mixed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(task, id) rows, each task of about `CAP` members at most, and members of buckets left to split."""
-    small = mixed.where(F.col("size") <= CAP).select(F.col("key").alias("task"), "id")
+def _tasks(mixed: DataFrame) -> DataFrame:
+    """(task, id, lead, component): tasks of `CAP` members at most, in which all pairs of a bucket meet but for
+    those within its largest component."""
+    small = mixed.where(F.col("size") <= CAP).select(F.col("key").alias("task"), "id", "lead", "component")
     large = mixed.where(F.col("size") > CAP)
-    # the component that most members are in, and how many are not
-    counts = large.groupBy("key", "component", "size").agg(F.count(F.lit(1)).alias("n"))
-    major = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"))
-    large = cut(large.join(major, "key").withColumn("few", F.col("size") - F.col("most")))
+    counts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    major = cut(counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")))
+    if not major.limit(1).count():
+        return small
     half = max(1, CAP // 2)
-    parts = F.ceil(F.col("size") / half).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    every = F.sequence(F.lit(0), parts - 1)
-    task = lambda *cols: F.xxhash64(F.lit("part"), "key", *cols).alias("task")
-    few = large.where(F.col("few") <= half)
-    out = small.unionByName(few.where("component = major").select(task(own), "id")).unionByName(few.where("component <> major").withColumn("q", F.explode(every)).select(task("q"), "id"))
-    many = large.where(F.col("few") > half)
-    if last:
-        pairs = many.withColumn("p", own).withColumn("q", F.explode(every))
-        out = out.unionByName(pairs.select(task(F.least("p", "q"), F.greatest("p", "q")), "id"))
-    return out, many
+    large = large.join(major, "key").withColumns({"most_parts": F.ceil(F.col("most") / half).cast("int"), "few_parts": F.ceil((F.col("all") - F.col("most")) / half).cast("int")})
+    own = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    task = lambda kind, *cols: F.xxhash64(F.lit(kind), "key", *cols).alias("task")
+    rest = ("id", "lead", "component")
+    most, few = large.where("component = major").withColumn("p", own(F.col("most_parts"))), large.where("component <> major").withColumn("q", own(F.col("few_parts")))
+    return (
+        small.unionByName(most.withColumn("q", every("few_parts")).select(task("most", "p", "q"), *rest))
+        .unionByName(few.withColumn("p", every("most_parts")).select(task("most", "p", "q"), *rest))
+        .unionByName(few.withColumn("o", every("few_parts")).select(task("few", F.least("q", "o"), F.greatest("q", "o")), *rest))
+    )
+
+
+def _alike_matrix(sizes: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+    """What `_alike` says of all pairs of rows."""
+    n = len(sizes)
+    differ = np.zeros((n, n), np.uint8)
+    for column in np.ascontiguousarray(sigs.view(np.uint64).T):
+        v = column[:, None] ^ column[None, :]
+        v |= v >> np.uint64(1)
+        v |= v >> np.uint64(2)
+        differ += np.bitwise_count(v & np.uint64(0x1111111111111111))
+    return (4 * np.minimum.outer(sizes, sizes) >= 3 * np.maximum.outer(sizes, sizes)) & (differ <= K - AGREE)
+
+
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, id, lead, component, n_shingles, sig) sorted by task, to (task, id) of the members that
+    signatures allow a link to a member of another component; pairs with the lead are tested already."""
+
+    def found(rows):
+        ids, lead, component, sizes, sigs = (np.concatenate(x) for x in zip(*rows))
+        if len(ids) < 2 or (component == component[0]).all():
+            return ids[:0]
+        alike = _alike_matrix(sizes, sigs) & (component[:, None] != component[None, :])
+        led = ids == lead
+        alike[led], alike[:, led] = False, False
+        return ids[alike.any(1)]
+
+    def batch_of(out):
+        tasks = np.concatenate([np.full(len(x), t, np.int64) for t, x in out]) if out else np.zeros(0, np.int64)
+        ids = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(tasks), pa.array(ids)], names=["task", "id"])
+
+    now, rows = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tasks, *columns = (batch.column(i).to_numpy() for i in range(5))
+        columns.append(batch.column(5).flatten().to_numpy().reshape(len(tasks), K // 16))
+        edges = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            if tasks[a] != now:
+                if rows:
+                    out.append((now, found(rows)))
+                now, rows = tasks[a], []
+            rows.append([c[a:b] for c in columns])
+        yield batch_of(out)
+    if rows:
+        yield batch_of([(now, found(rows))])
 
 
 def _bucket_links(sets: list[np.ndarray], ids: list[int]) -> list[tuple[int, int]]:
@@ -275,18 +326,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(_bucket_links(sets, ids) if len(sets) > 1 else [])
 
 
-def _split(large: DataFrame) -> DataFrame:
-    """Members (key, id) of large buckets again, by pairs of their buckets."""
-    own = large.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("k"))
-    pairs = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.xxhash64(x, y))))
-    return own.select("id", F.explode(F.array_distinct(pairs)).alias("key"))
-
-
-def _several(keyed: DataFrame) -> DataFrame:
-    """Rows (key, ...) whose key stands twice or more."""
-    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
-
-
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` (id, ...) with texts; few wanted ids pick the texts before the shuffle."""
     ids = wanted.select("id").distinct()
@@ -295,82 +334,70 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(docs.withColumnRenamed("doc_id", "id"), "id")
 
 
-class _Links:
-    """Confirmed links so far, the pairs that were tested, and the components they make."""
-
-    def __init__(self, links: DataFrame, texts: DataFrame):
-        self.texts, self.links, self.tested = texts, cut(links), None
-        self.labels = cut(components(self.links))
-
-    def test(self, pairs: DataFrame) -> None:
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.limit(1).count():
-            return
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        self._add(_confirmed(pairs, self.texts))
-
-    def compare(self, tasks: DataFrame) -> None:
-        """Link all members of each task (task, id); tasks of the same members run once."""
-        tasks = cut(tasks.distinct())
-        same = tasks.groupBy("task").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        once = same.groupBy("members", "n").agg(F.min("task").alias("task")).select("task")
-        wanted = cut(tasks.join(once, "task", "left_semi"))
-        if not wanted.limit(1).count():
-            return
-        rows = _texts_of(self.texts, wanted).select("task", "id", "text")
-        self._add(map_arrow(rows.repartition("task").sortWithinPartitions("task", "id"), _compare, "a long, b long"))
-
-    def _add(self, links: DataFrame) -> None:
-        self.links = cut(self.links.union(links).distinct())
-        release(self.links.sparkSession)
-        self.labels = cut(components(self.links))
-        release(self.links.sparkSession)
+def _representatives(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, rep) of every document; large classes are looked up where the documents lie."""
+    key = ["d1", "d2", "n_shingles"]
+    docs, classes = full.select("doc_id", *key), classes.select(*key, "rep", "copies")
+    hot = cut(classes.where(F.col("copies") > HOT).drop("copies"))
+    if 0 < hot.count() <= BROADCAST_IDS:
+        rest = docs.join(F.broadcast(hot), key, "left_anti").join(classes.drop("copies"), key)
+        docs = docs.join(F.broadcast(hot), key).unionByName(rest)
+    else:
+        docs = docs.join(classes.drop("copies"), key)
+    return docs.select("doc_id", "rep")
+
+
+def _compared(tasks: DataFrame, attributes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of each task, from full sets of the members under suspicion."""
+    rows = tasks.join(attributes, "id").select("task", "id", "lead", "component", "n_shingles", "sig")
+    suspects = cut(map_arrow(rows.repartition("task").sortWithinPartitions("task", "id"), _suspects, "task long, id long").distinct())
+    rows = _texts_of(texts, suspects).select("task", "id", "text")
+    return map_arrow(rows.repartition("task").sortWithinPartitions("task", "id"), _compare, "a long, b long")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each input row."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.where("doc_id IS NOT NULL")
     signed = written(sign(docs), "minhash")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    named = cut(full.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep"))
-    reps = full.join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    banded = _several(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")))
-    attributes = reps.select(F.col("doc_id").alias("id"), *_ATTRIBUTES)
-    members = written(banded.join(attributes, "id"), "members")
-    release(members.sparkSession)
+    classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.select("d1", "d2", "n_shingles", "copies", F.col("x.doc_id").alias("rep"), "x.bands", "x.sig"), "classes")
+    named = cut(_representatives(full, classes))
     # texts that share a doc_id are one document
     least = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
-    one = named.join(least, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
-
-    state = _Links(one, docs.where("doc_id IS NOT NULL"))
-    state.test(_stars(_labelled(members.where(F.col("band") < FIRST_BANDS), state.labels)))
-    state.test(_stars(_labelled(members, state.labels)))
-    rows, cut_up = members, None
-    for level in range(LEVELS):
-        tasks, large = _tasks(cut(_mixed(_labelled(rows, state.labels))), False)
-        state.compare(tasks)
-        if level == 0:
-            cut_up = cut(large.select("key").distinct())
-        if level == LEVELS - 1 or not large.limit(1).count():
-            break
-        rows = written(_several(_split(large)).join(attributes, "id"), "split")
-        release(rows.sparkSession)
-        state.test(_stars(_labelled(rows, state.labels)))
-    if cut_up.limit(1).count():
-        # pairs of buckets only bring together what shares two of them: what is still apart meets whole
-        rest = _labelled(members.join(cut_up, "key", "left_semi"), state.labels)
-        state.compare(_tasks(cut(_mixed(rest)), True)[0])
-    labels = state.labels
-    drop_written(members)
-    # least document of each component, through the classes of equal sets
+    links = named.join(least, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
+    attributes = classes.select(F.col("rep").alias("id"), "n_shingles", "sig")
+    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("z"), F.count(F.lit(1)).alias("size")).where("lead < z").drop("z")
+    members = written(banded.join(buckets, "key"), "members")
+
+    # each member with the least ones of its buckets: the least of these first, the others if still apart
+    pairs = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    alike = _with_attributes(_with_attributes(pairs, attributes, "a"), attributes, "b").where(_alike("a", "b"))
+    alike = cut(alike.select("a", "b").distinct())
+    release(spark)
+    first = alike.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = cut(links.unionByName(_confirmed(first, texts)))
+    others = cut(_apart(alike.join(first, ["a", "b"], "left_anti"), components(links)))
+    links = cut(links.unionByName(_confirmed(others, texts)))
+    release(spark)
+    # what shares a bucket but neither is linked with its least member
+    tasks = _tasks(_mixed(members, components(links)))
+    links = links.unionByName(_compared(tasks, attributes, texts))
+    labels = components(links)
+    release(spark)
+
     final = named.join(labels, named["rep"] == labels["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    out = cut(out)
+    for folder in (members, classes, signed):
+        drop_written(folder)
+    return out
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
