@@ -5,9 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import tempfile
+import time
 from pathlib import Path
 
 from . import __version__
+from .kernels.geometry import RIGS
 from .plans.config import Config, ConfigError
 
 
@@ -15,6 +18,12 @@ def _config(path: str | None) -> Config:
     return Config.parse(Path(path).read_text()) if path else Config.default()
 
 
+def _radius(text: str) -> int:
+    if not text.isdecimal() or int(text) > 256:
+        raise argparse.ArgumentTypeError("must be an integer from 0 to 256")
+    return int(text)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="latticework")
     sub = p.add_subparsers(dest="command", required=True)
@@ -27,9 +36,21 @@ def main(argv: list[str] | None = None) -> int:
         c = sub.add_parser(name)
         c.add_argument("folder")
         c.add_argument("--preset")
+        c.add_argument("--recursive", action=argparse.BooleanOptionalAction, help="overrides the preset")
+        c.add_argument("--include", nargs="+", metavar="GLOB", help="overrides the preset")
+        c.add_argument("--exclude", nargs="+", metavar="GLOB", help="overrides the preset")
         if name != "inspect":
             c.add_argument("--out", required=True)
-    args = p.parse_args(argv)
+        if name == "transform":
+            c.add_argument("--template", choices=sorted(RIGS), default="human")
+            c.add_argument("--dilation", type=_radius, default=8)
+        if name == "suggest":
+            c.add_argument("--config", help="JSON file with the provider's settings")
+            c.add_argument("--cache", action=argparse.BooleanOptionalAction, default=True)
+    try:
+        args = p.parse_args(argv)
+    except SystemExit as e:
+        return 2 if e.code else 0
     try:
         if args.command == "init":
             target = Path(args.file)
@@ -63,21 +84,27 @@ def _run(args, cfg: Config) -> int:
         print(f"INPUT_NOT_FOUND: {root}", file=sys.stderr)
         return 2
     spark = get_session()
-    files = source.scan(spark, root, cfg.input["recursive"], cfg.input["include"], cfg.input["exclude"])
-    decoded = source.decode(files)
+    chosen = {k: getattr(args, k) for k in ("recursive", "include", "exclude") if getattr(args, k) is not None}
+    wanted = cfg.input | chosen
+    decoded = source.decode(source.scan(spark, root, wanted["recursive"], wanted["include"], wanted["exclude"]))
     out = Path(getattr(args, "out", ".") or ".")
     out.mkdir(parents=True, exist_ok=True)
     failed = 0
     if args.command == "inspect":
         done = images.process(decoded, cfg, with_pixels=False)
-        for r in done.select("source", "status", "message", "sprites").orderBy("source").toLocalIterator():
-            print(r.source, r.status, r.message or f"{len(r.sprites)} sprites")
+        for r in done.orderBy("source").toLocalIterator():
+            print(f"{r.source} {r.status} {r.message}" if r.status != "ok" else exports.listing(r.asDict(True), cfg.detect))
             failed += r.status != "ok"
     elif args.command == "process":
+        began = time.monotonic()
         done = images.process(decoded, cfg).persist()
-        exports.write_files(done, str(out.resolve()), "latticework", __version__)
+        exports.write_files(done, str(out.resolve()), "latticework", __version__, cfg.output)
         totals = exports.summary(done)
-        (out / "summary.json").write_text(exports.pretty(totals))
+        stems = ((r.source.rsplit(".", 1)[0], r.n) for r in done.where("status = 'ok'").selectExpr("source", "size(pages) AS n").orderBy("source").toLocalIterator())
+        outputs = [str(out / stem / f) for stem, n in stems for f in exports.output_names(stem.rsplit("/", 1)[-1], n, cfg.output)]
+        took = {"durationMs": int((time.monotonic() - began) * 1000), "outputs": [*outputs, str(out / "summary.json")]}
+        errors = totals.pop("errors")
+        (out / "summary.json").write_text(exports.pretty(totals | took | {"errors": errors}))
         failed = totals["failed"]
     elif args.command == "analyze":
         assets = images.features(decoded).persist()
@@ -91,22 +118,31 @@ def _run(args, cfg: Config) -> int:
     elif args.command == "suggest":
         from .plans import provider
 
-        settings = provider.Settings.resolve()
-        cache = provider.AnswerCache(spark, str((out / "answers").resolve()))
-        results = provider.understand(images.features(decoded), cache, settings).persist()
+        try:
+            settings = provider.Settings.resolve(json.loads(Path(args.config).read_text()) if args.config else None)
+        except (OSError, ValueError) as e:
+            print(f"AI_CONFIG_INVALID: {e}", file=sys.stderr)
+            return 2
+        place = (out / "answers").resolve() if args.cache else Path(tempfile.mkdtemp(prefix="latticework-"))
+        results = provider.understand(images.features(decoded), provider.AnswerCache(spark, str(place)), settings).persist()
         for name, text in provider.sidecars(results, settings).items():
             (out / name).write_text(text)
     else:
         from .plans import project
 
-        for r in project.transform(decoded, cfg).toLocalIterator():
+        for r in project.transform(decoded, cfg, args.template, dilation=args.dilation).toLocalIterator():
             failed += r.status != "ok"
             if r.status == "ok":
-                base = out / r.source.rsplit(".", 1)[0]
-                (base / "layers").mkdir(parents=True, exist_ok=True)
-                (base / "project.json").write_text(exports.pretty(json.loads(r.project)))
-                for f in r.files:
-                    (base / f.name).write_bytes(f.png)
+                base, doc = out / r.source.rsplit(".", 1)[0], json.loads(r.project)
+                scene = base / "godot-export"
+                for folder in (base, scene):
+                    (folder / "layers").mkdir(parents=True, exist_ok=True)
+                    for f in r.files:
+                        (folder / f.name).write_bytes(f.png)
+                (base / "project.json").write_text(exports.pretty(doc))
+                for name, text in project.scene_files(doc).items():
+                    (scene / name).write_text(text)
+                failed += not doc["layers"]
     return 1 if failed else 0
 
 

@@ -127,9 +127,11 @@ def fnv1a32_codes(codes: Column, seed: int = FNV_BASIS) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a of an ASCII string."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return fnv1a32_codes(F.transform(chars, lambda c: F.ascii(c)))
+    """FNV-1a over the UTF-16 code units of a string."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    starts = F.sequence(F.lit(0), F.floor(F.length(units) / 4).cast("int") - 1)
+    codes = F.transform(starts, lambda i: F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10))
+    return fnv1a32_codes(F.when(F.length(text) > 0, codes).otherwise(F.array().cast("array<string>")))
 
 
 def hamming(a: Column, b: Column) -> Column:

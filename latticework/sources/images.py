@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,25 @@ IMAGE = "source string, status string, stage string, code string, message string
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True, include=INCLUDE, exclude=EXCLUDE) -> DataFrame:
-    """source (path below root), byte_size, content of PNG files whose path matches the globs."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    """source (path below root), byte_size, content of PNG files whose path matches the globs.
+
+    Other files are not read, and files that vanish meanwhile are left out. Rows have no order: sort by
+    source, which is an image's place in a batch.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[pP][nN][gG]").option("ignoreMissingFiles", "true").load(root)
     prefix = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
     source = F.substring_index(F.col("path"), prefix + "/", -1)
     rows = files.select(source.alias("source"), F.col("length").alias("byte_size"), "content")
-    return rows.where(F.lower("source").endswith(".png") & S.matches_globs(F.col("source"), list(include), list(exclude)))
+    return rows.where(S.matches_globs(F.col("source"), list(include), list(exclude)))
+
+
+def in_memory(spark: SparkSession, items: Iterable[tuple[str, bytes]]) -> DataFrame:
+    """The rows of `scan` for (name, content) pairs at hand, such as dropped files; `decode` tells which are ready.
+
+    A name that is no PNG's stays in, with no content, so that it becomes a failed row.
+    """
+    rows = [(name, len(content), bytearray(content) if name.lower().endswith(".png") else None) for name, content in items]
+    return spark.createDataFrame(rows, "source string, byte_size long, content binary")
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -42,7 +55,9 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             source, size, content = (batch.column(k)[i].as_py() for k in range(3))
             row = {"source": source, "status": "ok", "byte_size": size}
             try:
-                rgba, alpha = png.decode(content or b"")
+                if content is None:
+                    raise png.PngError("only PNG files are read")
+                rgba, alpha = png.decode(content)
                 row |= {"has_alpha": alpha, "width": rgba.shape[1], "height": rgba.shape[0], "data": rgba.tobytes()}
             except png.PngError as e:
                 row |= {"status": "failed", "stage": "decode", "code": "IMAGE_INVALID", "message": str(e)}
