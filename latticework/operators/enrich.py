@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .series import ordinals
 
-# Asset types, types that stand on their feet, moves by category (first match) and mock types.
+# Asset types, types that stand on their feet, moves by category (first match), else by type, mock types.
 ASSET_TYPES = ("character", "monster", "item", "weapon", "environment", "ui", "unknown")
 FOOTED = ("character", "monster")
 MOVES = (
@@ -16,6 +16,8 @@ MOVES = (
     (("monster", "animal", "slime"), ("idle", "run", "bite")),
     (("item", "weapon", "sword"), ("rotate", "float")),
 )
+MOVES_BY_TYPE = ((("character", "monster"), ("idle", "move")), (("item", "weapon"), ("rotate", "float")), (("environment", "ui"), ()))
+OTHER_MOVES = ("idle",)
 MOCK_TYPES = ("character", "item", "environment")
 
 
@@ -59,12 +61,11 @@ def cache_pass(requests: DataFrame, cache: DataFrame, answer: Column) -> tuple[D
 
 def name_suggestions(results: DataFrame) -> DataFrame:
     """source, suggested: <type>[_<category>]_<NN>.png, numbered for each base in input order (`ord`);
-    unknown types are skipped, and names that are right already."""
+    unknown types are skipped, and names that are right already. An empty or unknown category is left out."""
     kind, category = S.snake(F.col("asset_type")), S.snake(F.col("category"))
-    base = F.when((F.col("category") == "unknown") | (category == kind), kind).otherwise(F.concat_ws("_", kind, category))
-    rows = results.where("asset_type <> 'unknown'").withColumn("base", base)
-    number = F.row_number().over(W.partitionBy("base").orderBy("ord"))
-    out = rows.withColumn("suggested", F.format_string("%s_%02d.png", "base", number))
+    named = F.coalesce(~F.col("category").isin("", "unknown"), F.lit(False))
+    rows = results.where("asset_type <> 'unknown'").withColumn("base", F.when(named, F.concat_ws("_", kind, category)).otherwise(kind))
+    out = ordinals(rows, ["base"], "ord", "number").withColumn("suggested", F.format_string("%s_%02d.png", "base", "number"))
     return out.where(F.col("suggested") != S.basename(F.col("source"))).select("source", "suggested")
 
 
@@ -73,16 +74,19 @@ def pivot_suggestions(results: DataFrame) -> DataFrame:
 
 
 def moves_of(asset_type: Column, category: Column) -> Column:
-    """Recommended moves: by category, else by type; null if neither is known."""
-    out = F.lit(None).cast("array<string>")
-    for key in (asset_type, category):
-        for match, moves in reversed(MOVES):
-            out = F.when(F.lower(key).isin(*match), F.array(*[F.lit(m) for m in moves])).otherwise(out)
+    """Recommended moves: by category, else by type; may be empty."""
+    array = lambda moves: F.array(*[F.lit(m) for m in moves]).cast("array<string>")
+    out = array(OTHER_MOVES)
+    for key, rules in ((asset_type, MOVES_BY_TYPE), (F.lower(category), MOVES)):
+        for match, moves in reversed(rules):
+            out = F.when(key.isin(*match), array(moves)).otherwise(out)
     return out
 
 
 def animation_suggestions(results: DataFrame) -> DataFrame:
-    return results.withColumn("moves", moves_of(F.col("asset_type"), F.col("category"))).where("moves IS NOT NULL").select("source", "moves")
+    """source, moves for known types that have any."""
+    known = results.where("asset_type <> 'unknown'")
+    return known.withColumn("moves", moves_of(F.col("asset_type"), F.col("category"))).where(F.size("moves") > 0).select("source", "moves")
 
 
 def classification(results: DataFrame) -> DataFrame:

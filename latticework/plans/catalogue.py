@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import images as I
 from ..operators import packing as P
 from ..operators import rules as R
+from ..operators.series import ordinals
 from .config import Config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,8 +214,7 @@ def _hourly(spark, sf_dir) -> DataFrame:
     """Hourly sums for each event type, numbered from 0."""
     hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
     sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("k"), hour.alias("p")).agg(F.sum("value").alias("value"))
-    number = F.row_number().over(W.partitionBy("k").orderBy("p")) - 1
-    return sums.select("k", number.cast("long").alias("i"), "value")
+    return ordinals(sums, ["k"], "p", "n").select("k", (F.col("n") - 1).cast("long").alias("i"), "value")
 
 
 @query("resample_nearest", _SERIES_SQL + """,
@@ -497,14 +497,14 @@ def _results(spark, sf_dir) -> DataFrame:
 
 @query("suggest_names", f"""
     WITH {_RESULTS_SQL}, s AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'asset') AS c FROM r WHERE asset_type <> 'unknown'),
-         b AS (SELECT *, CASE WHEN category = 'unknown' OR c = asset_type THEN asset_type ELSE asset_type || '_' || c END AS base FROM s)
+         b AS (SELECT *, CASE WHEN category IN ('unknown', '') THEN asset_type ELSE asset_type || '_' || c END AS base FROM s)
     SELECT source, base || '_' || format('{{:02d}}', row_number() OVER (PARTITION BY base ORDER BY ord)) || '.png' AS suggested FROM b""")
 def suggest_names(spark, sf_dir):
     return E.name_suggestions(_results(spark, sf_dir))
 
 
 @query("animation_lookup", f"""
-    WITH {_RESULTS_SQL} SELECT source, CASE WHEN lower(category) = 'slime' THEN 'idle,run,bite' WHEN asset_type = 'monster' THEN 'idle,run,bite' WHEN asset_type = 'item' THEN 'rotate,float' END AS moves FROM r WHERE lower(category) = 'slime' OR asset_type IN ('monster', 'item')""")
+    WITH {_RESULTS_SQL} SELECT source, CASE WHEN lower(category) = 'slime' THEN 'idle,run,bite' WHEN asset_type IN ('character', 'monster') THEN 'idle,move' WHEN asset_type = 'item' THEN 'rotate,float' END AS moves FROM r WHERE (lower(category) = 'slime' AND asset_type <> 'unknown') OR asset_type IN ('character', 'monster', 'item')""")
 def animation_lookup(spark, sf_dir):
     return E.animation_suggestions(_results(spark, sf_dir)).select("source", F.array_join("moves", ",").alias("moves"))
 
