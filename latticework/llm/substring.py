@@ -3,17 +3,20 @@
 A window is `WINDOW` consecutive words. A window of a document is a repeat if its words also start in
 a document with a lesser doc_id; words covered by repeats are removed.
 
-Suffixes are partitioned by prefix. Every window has an anchor, the run of `GRAM` words in it with the
-least hash; equal windows have equal anchors at equal places, so suffixes need to meet only suffixes
-with the same anchor, and about two in forty positions are anchors. Anchors of one document alone
-cannot hold a repeat and end here, before any text moves. For the others the words that their windows
-span are sent to the anchor's group, where a suffix subtree is built, cut at depth `WINDOW`: suffixes
-are sorted, neighbours compared, and the internal nodes that deep are the repeats. The prefix length
-varies: groups above `GROUP` suffix anchors, which would not fit a task, are split by lengthening the
-prefix to the full depth. There a prefix is a deep node itself, and its least document comes from a
-min-aggregate that is combined before the shuffle; windows go in blocks of up to `BLOCK` at fixed places
-about the anchor, so a passage that very many documents share moves as a few blocks a document, and only
-the first document of each block looks its windows up one by one.
+Suffixes are partitioned by words that they hold near their beginning. Every window has an anchor, the
+run of `GRAM` words in it with the least hash; equal windows have equal anchors at equal places, so
+suffixes need to meet only suffixes with the same anchor, and about two in forty positions are anchors.
+Anchors of one document alone cannot hold a repeat and end here, before any text moves. For the others
+the words that their windows span are sent to the anchor's group, where the suffix subtree of these spans
+is built from sorted suffixes and the common prefixes of neighbours. Its internal nodes of `WINDOW` words
+or more are the repeats: every suffix takes the deepest one above it that also holds a lesser document,
+and that node's words are a span to remove.
+
+The shared words vary in length: groups above `GROUP` anchors, which would not fit a task, are split by
+the full depth. There a prefix is a deep node itself, and its least document comes from a min-aggregate
+that is combined before the shuffle; windows go in blocks of up to `BLOCK` at fixed places about the
+anchor, so a passage that very many documents share moves as a few blocks a document, and only the first
+document of each block looks its windows up one by one.
 
 Equal word sequences are collapsed first: of a group of copies only the least document enters the
 trees, as it holds the least doc_id of each of their windows; the others are repeats as a whole.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as T
-from .common import cut, map_arrow, written
+from .common import cut, drop_written, map_arrow, written
 
 WINDOW = 50
 GRAM = 10
@@ -43,6 +46,8 @@ GROUP = 500
 BLOCK = 8
 #: Up to this many document ids (long) go to all executors, to pick their texts before a shuffle.
 BROADCAST_IDS = 200_000
+#: Up to this many anchors (9 bytes) go to all executors.
+BROADCAST_ANCHORS = 400_000
 _SPAN = WINDOW - GRAM + 1
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -165,50 +170,81 @@ def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), *keys, pa.array(at[first].astype(np.int32)), *arrays], names=["b1", "b2", "doc_id", "c1", "c2", "at", "w1", "w2"])
 
 
-def _hot_repeats(blocks: DataFrame) -> DataFrame:
-    """(doc_id, c1, c2, begin, stop) of repeated windows in blocks, from min-aggregates of documents."""
-    least = blocks.groupBy("b1", "b2").agg(F.min("doc_id").alias("least"))
+def _hot_repeats(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, c1, c2, begin, stop) of repeated windows in blocks, from min-aggregates of documents; a
+    written table that it reads)."""
+    # checkpointed, so that the joins read two shuffles, which adaptive execution can split
+    least = cut(blocks.groupBy("b1", "b2").agg(F.min("doc_id").alias("least")))
     known = blocks.join(least, ["b1", "b2"])
     copies = known.where("doc_id > least").select("doc_id", "c1", "c2", F.col("at").alias("begin"), (F.col("at") + F.size("w1") - 1 + WINDOW).cast("int").alias("stop"))
     own = known.where("doc_id = least").select("doc_id", "c1", "c2", "at", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w"))
     windows = written(own.select("w.w1", "w.w2", "doc_id", "c1", "c2", (F.col("at") + F.col("k")).cast("int").alias("at")), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+    first = cut(first)
     deep = windows.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "c1", "c2", F.col("at").alias("begin"), (F.col("at") + WINDOW).cast("int").alias("stop"))
-    return copies.unionByName(deep)
+    return copies.unionByName(deep), windows
 
 
-def deep_nodes(rows: list[tuple[int, bytes]], depth: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """Internal nodes at `depth` of the suffix tree of rows (document, words): lists of (row, offset).
+def _agree(a: bytes, b: bytes, known: int) -> int:
+    """Words (4 bytes each) that two suffixes have in common at their beginning, `known` or more."""
+    low, high = known, min(len(a), len(b)) // 4
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[: 4 * mid] == b[: 4 * mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def subtree(rows: list[tuple[int, bytes]], depth: int = WINDOW) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(leaves, nodes) of the suffix tree of rows (document, words), but for what lies above `depth`.
 
-    Words become 4-byte numbers, so suffixes sort as bytes; sorted neighbours that agree to the full
-    depth hang below one node. Each list is in order of documents.
+    Leaves are (document, row, place) in the order of suffixes; words become 4-byte numbers, so suffixes
+    sort as bytes. Nodes are the internal nodes of `depth` or deeper, (depth, first leaf, leaf behind the
+    last), made from the common prefixes of neighbours with a stack; parents come before children.
     """
     number: dict[bytes, bytes] = {}
     suffixes = []
     for r, (doc, text) in enumerate(rows):
         codes = b"".join([number.setdefault(w, len(number).to_bytes(4, "big")) for w in text.split(b" ")])
-        for j in range(len(codes) // 4 - depth + 1):
-            suffixes.append((codes[4 * j : 4 * (j + depth)], doc, r, j))
+        suffixes += [(codes[4 * j :], doc, r, j) for j in range(len(codes) // 4 - depth + 1)]
     suffixes.sort()
-    nodes, i = [], 0
-    while i < len(suffixes):
-        j = i + 1
-        while j < len(suffixes) and suffixes[j][0] == suffixes[i][0]:
-            j += 1
-        if j - i > 1:
-            nodes.append([(r, k) for _, _, r, k in suffixes[i:j]])
-        i = j
-    return nodes
-
-
-def _spans(starts: list[int], width: int) -> list[tuple[int, int]]:
-    """The union of [s, s + width) as disjoint spans."""
+    nodes, stack, reach = [], [], 4 * depth
+    for i in range(1, len(suffixes) + 1):
+        a = suffixes[i - 1][0]
+        both = _agree(a, suffixes[i][0], depth) if i < len(suffixes) and a[:reach] == suffixes[i][0][:reach] else 0
+        first = i - 1
+        while stack and stack[-1][0] > both:
+            size, first = stack.pop()
+            nodes.append((size, first, i))
+        if both and (not stack or stack[-1][0] < both):
+            stack.append((both, first))
+    nodes.sort(key=lambda n: (n[1], -n[2], n[0]))
+    return [s[1:] for s in suffixes], nodes
+
+
+def repeats_of(rows: list[tuple[int, bytes]], depth: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """(row, place, words): for every suffix the deepest node above it that also holds a lesser document."""
+    leaves, nodes = subtree(rows, depth)
+    found: dict[int, int] = {}
+    for size, a, b in nodes:
+        least = min(leaves[a:b])[0]
+        for i in range(a, b):
+            if leaves[i][0] > least:
+                found[i] = size
+    for i, size in found.items():
+        yield leaves[i][1], leaves[i][2], size
+
+
+def _spans(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans (begin, stop) as disjoint spans."""
     out: list[list[int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1][1] = s + width
+    for begin, stop in sorted(parts):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
         else:
-            out.append([s, s + width])
+            out.append([begin, stop])
     return [tuple(x) for x in out]
 
 
@@ -221,14 +257,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def repeats(group):
         if len({g[0] for g in group}) < 2:
             return
-        starts: dict[int, list[int]] = {}
-        for node in deep_nodes([(g[0], g[4]) for g in group]):
-            least = group[node[0][0]][0]
-            for r, j in node:
-                if group[r][0] > least:
-                    starts.setdefault(r, []).append(group[r][3] + j)
-        for r, s in starts.items():
-            for begin, stop in _spans(s, WINDOW):
+        parts: dict[int, list[tuple[int, int]]] = {}
+        for r, j, size in repeats_of([(g[0], g[4]) for g in group]):
+            begin = group[r][3] + j
+            parts.setdefault(r, []).append((begin, begin + size))
+        for r, own in parts.items():
+            for begin, stop in _spans(own):
                 yield *group[r][:3], begin, stop
 
     def batch_of(rows):
@@ -272,6 +306,17 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id")
 
 
+def _of_shared_anchors(heads: DataFrame, shared: DataFrame) -> DataFrame:
+    """heads with `big`, of shared anchors only. Anchors of large groups are looked up where the rows lie."""
+    if shared.count() <= BROADCAST_ANCHORS:
+        return heads.join(F.broadcast(shared), "anchor")
+    big = shared.where("big")
+    if big.count() > BROADCAST_ANCHORS:
+        return heads.join(shared, "anchor")
+    rest = heads.join(F.broadcast(big.select("anchor")), "anchor", "left_anti")
+    return heads.join(F.broadcast(big), "anchor").unionByName(rest.join(shared.where("NOT big"), "anchor"))
+
+
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scan, removals): scan has doc_id, xxhash64 of the text (body), n_words, c1, c2, sha of each row; removals the rows that lose
     words, by (doc_id, c1, c2), with n_removed and the kept words joined by spaces."""
@@ -283,18 +328,26 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = long_ones.join(classes, key)
     copies = least.where("doc_id > rep").select("doc_id", "c1", "c2", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
     heads = least.where("doc_id = rep").select("doc_id", "c1", "c2", F.explode(F.arrays_zip("anchor", "lo", "hi", "mid")).alias("x")).select("doc_id", "c1", "c2", "x.*").distinct()
-    shared = heads.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("anchor", (F.col("n") > GROUP).alias("big"))
-    found = cut(heads.join(shared, "anchor").groupBy("doc_id", "c1", "c2", "big").agg(F.collect_list(F.struct("anchor", "lo", "hi", "mid")).alias("x")))
+    heads = written(heads, "anchors")
+    shared = heads.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    shared = cut(shared.select("anchor", (F.col("n") > GROUP).alias("big")))
+    kept = _of_shared_anchors(heads, shared)
+    found = cut(kept.groupBy("doc_id", "c1", "c2", "big").agg(F.collect_list(F.struct("anchor", "lo", "hi", "mid")).alias("x")))
 
     def with_text(big: bool) -> DataFrame:
         return _texts_of(docs, found.where(F.col("big") == big)).select("doc_id", "text", "c1", "c2", F.col("x.anchor").alias("anchor"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("x.mid").alias("mid"))
 
     contexts = map_arrow(with_text(False), _contexts, "anchor long, doc_id long, c1 long, c2 long, lo int, words binary")
     repeats = map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo"), _subtrees, _REPEATS)
+    used = [heads]
     if found.where("big").limit(1).count():
         blocks = written(map_arrow(with_text(True), _full_depth, _BLOCKS), "blocks")
-        repeats = repeats.unionByName(_hot_repeats(blocks))
+        hot, windows = _hot_repeats(blocks)
+        repeats = repeats.unionByName(hot)
+        used += [blocks, windows]
     spans = cut(repeats.groupBy("doc_id", "c1", "c2").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
+    for folder in used:
+        drop_written(folder)
     some = map_arrow(_texts_of(docs, spans).select("doc_id", "text", "c1", "c2", "spans"), _own(_remove), "doc_id long, c1 long, c2 long, n_removed long, kept string")
     return scan.select("doc_id", "body", "n_words", "c1", "c2", "sha"), copies.unionByName(some.dropDuplicates(["doc_id", "c1", "c2"]))
 

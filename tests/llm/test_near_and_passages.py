@@ -137,6 +137,7 @@ def test_passages_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(substring, "GROUP", group)
     if group == 4:
         monkeypatch.setattr(substring, "BROADCAST_IDS", -1)
+        monkeypatch.setattr(substring, "BROADCAST_ANCHORS", 60)
     rows = passage_rows()
     got = substring.passage_report(with_all_columns(spark, rows)).collect()
     assert Counter(map(tuple, got)) == Counter(brute_passages(rows))
@@ -157,10 +158,33 @@ def test_passage_dedup_of_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, common), (2, "x"), (2, "a text of its own"), (2, "x"), (None, common)])
 
 
-def test_deep_nodes():
-    rows = [(5, b"a b c d"), (3, b"z a b c"), (4, b"b c d")]
-    found = sorted(sorted(n) for n in substring.deep_nodes(rows, 3))
-    assert found == [[(0, 0), (1, 1)], [(0, 1), (2, 0)]]
+def test_subtree():
+    rows = [(5, b"a b c d e"), (3, b"z a b c d"), (4, b"b c d"), (9, b"a b c x"), (5, b"q q q q")]
+    leaves, nodes = substring.subtree(rows, 2)
+    word = lambda leaf, n: b" ".join(rows[leaf[1]][1].split()[leaf[2] : leaf[2] + n])
+    # the node of a maximal repeat, and the documents below it
+    assert sorted((word(leaves[a], n), n, sorted(x[0] for x in leaves[a:b])) for n, a, b in nodes) == [
+        (b"a b c", 3, [3, 5, 9]), (b"a b c d", 4, [3, 5]), (b"b c", 2, [3, 4, 5, 9]), (b"b c d", 3, [3, 4, 5]), (b"c d", 2, [3, 4, 5]), (b"q q", 2, [5, 5, 5]), (b"q q q", 3, [5, 5]),
+    ]
+    assert sorted(substring.repeats_of(rows, 2)) == [(0, 0, 4), (0, 1, 3), (0, 2, 2), (2, 0, 3), (2, 1, 2), (3, 0, 3), (3, 1, 2)]
+
+
+def test_subtree_against_all_pairs():
+    rng = random.Random(12)
+    for _ in range(60):
+        rows = [(rng.randrange(6), " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 14))).encode()) for _ in range(rng.randrange(1, 7))]
+        want = {}
+        words = [t.split() for _, t in rows]
+        for r, (doc, _) in enumerate(rows):
+            for i in range(len(words[r])):
+                for q, (other, _) in enumerate(rows):
+                    for j in range(len(words[q])) if other < doc else ():
+                        n = 0
+                        while i + n < len(words[r]) and j + n < len(words[q]) and words[r][i + n] == words[q][j + n]:
+                            n += 1
+                        if n >= 3:
+                            want[r, i] = max(want.get((r, i), 0), n)
+        assert {(r, j): n for r, j, n in substring.repeats_of(rows, 3)} == want
 
 
 def test_pair_whose_only_common_bucket_is_large(spark, monkeypatch):
