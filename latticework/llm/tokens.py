@@ -3,7 +3,8 @@
 The pre-tokenizer of byte-level BPE never joins what stands before a single space to what follows it,
 so a text's ids are those of its space-separated pieces, each with its leading space, one after the
 other. Pieces repeat, so each Python worker keeps their ids in a bounded cache. Texts where a space
-follows white space, or that end in white space, are encoded whole.
+follows white space, or that end in white space, are encoded whole; texts that hold the string of a
+special token by `tokenizers` itself, which gives that token's id.
 
 Pieces that are not cached are encoded by `tiktoken` with the ranks read from the same file, if that
 library is there and agrees with `tokenizers` on a sample; else by `tokenizers`.
@@ -53,10 +54,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.whole = self._reference
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        added = sorted((x["content"] for x in model.get("added_tokens", [])), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         try:
-            self._fast(path)
+            self._fast(model, set(added))
         except (ImportError, KeyError, ValueError):
             pass
         self.cache = _Cache(self.whole)
@@ -70,14 +74,11 @@ class Encoder:
     def _reference(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _fast(self, path: str) -> None:
+    def _fast(self, model: dict, special: set[str]) -> None:
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
         if (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
             return
-        special = {x["content"] for x in model.get("added_tokens", [])}
         stand_in = _byte_of()
         ranks = {bytes(stand_in[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         encoding = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -86,6 +87,8 @@ class Encoder:
             self.whole = fast
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return self._reference(text)
         if not text or _ODD.search(text):
             return self.whole(text) if text else b""
         head, *rest = text.split(" ")

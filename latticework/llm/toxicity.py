@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as T
-from .common import map_arrow, written
+from .common import drop_written, map_arrow, written
 
 MAX_TRAIN = 20_000
 FOLDS = 5
@@ -280,7 +280,9 @@ def one_of_each_family(train: DataFrame) -> DataFrame:
             kept.append((r.h,))
         seen |= own
     ids = train.sparkSession.createDataFrame(kept, "h long")
-    return keyed.join(F.broadcast(ids), "h").dropDuplicates(["h"]).select("text", "toxic")
+    out = written(keyed.join(F.broadcast(ids), "h").dropDuplicates(["h"]).select("text", "toxic"), "family")
+    drop_written(keyed)
+    return out
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, int]:
@@ -371,8 +373,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text IS NOT NULL")
     train = train.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     train = written(train, "toxic")
-    lexicon = learn_lexicon(one_of_each_family(train))
+    some = one_of_each_family(train)
+    lexicon = learn_lexicon(some)
     rows = map_arrow(train, _feature_kernel(lexicon), "x array<double>, toxic int").collect()  # max_train rows at most
+    drop_written(some)
+    drop_written(train)
     weights = fit_weights(np.array([r.x for r in rows]).reshape(len(rows), len(OUTPUTS)), np.array([r.toxic for r in rows], float))
     return Model(lexicon, weights.tolist())
 

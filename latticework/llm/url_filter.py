@@ -121,9 +121,12 @@ def _judge_kernel(cascades):
         for batch in batches:
             listed = np.zeros(batch.num_rows, bool)
             shard, h1, h2 = (np.asarray(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)) for c in ("shard", "h1", "h2"))
-            for s in np.unique(shard):
-                at = np.flatnonzero(shard == s)
-                listed[at] = probe(shards.get(int(s), []), h1[at], h2[at])
+            order = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+            for a, b in zip(edges, edges[1:]):
+                at = order[a:b]
+                if len(at):
+                    listed[at] = probe(shards.get(int(shard[at[0]]), []), h1[at], h2[at])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(listed)], names=[*batch.schema.names, "listed"])
 
     return run

@@ -13,9 +13,7 @@ from latticework.llm import packing, queries, rollup, tokens, toxicity
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def test_cached_ids_equal_the_tokenizer(tokenizer):
@@ -26,6 +24,10 @@ def test_cached_ids_equal_the_tokenizer(tokenizer):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    for text in (f"a {special[0]} b" if special else "a b", "".join(special), "x" + "y ".join(special)):
+        assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.whole != encoder._reference  # the quick path is in use
 
 
 def check_packing(rows, texts, tokenizer, capacity=1024):
