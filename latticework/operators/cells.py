@@ -157,12 +157,13 @@ def boundary_edges(cells: DataFrame) -> DataFrame:
 
 
 def nearest_cells(targets: DataFrame, cells: DataFrame, radius: int, value: str) -> DataFrame:
-    """For each target cell the value of the nearest cell: least (ring, dy, dx) within radius."""
+    """For each target cell (keys, y, x) the value of the nearest cell with its keys: least (ring, dy, dx) within radius."""
+    keys = [c for c in targets.columns if c not in ("y", "x")]
     offsets = [(max(abs(dy), abs(dx)), dy, dx) for dy, dx in _around(radius)]
     step = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(o, ("ring", "dy", "dx"))]) for o in offsets])
     look = targets.withColumn("o", F.explode(step)).withColumns({"sy": F.col("y") + F.col("o.dy"), "sx": F.col("x") + F.col("o.dx")})
-    source = cells.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value))
-    return look.join(source, ["sy", "sx"]).groupBy("y", "x").agg(F.min_by(value, "o").alias(value), F.min("o.ring").alias("ring"))
+    source = cells.select(*keys, F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value))
+    return look.join(source, [*keys, "sy", "sx"]).groupBy(*keys, "y", "x").agg(F.min_by(value, "o").alias(value), F.min("o.ring").alias("ring"))
 
 
 def grid_mesh(cells: DataFrame, step: int) -> DataFrame:

@@ -75,21 +75,26 @@ def runs(df: DataFrame, keys: list[str], position: str, min_size: int = 1) -> Da
     return out.where(F.col("size") >= min_size).drop("_i")
 
 
+#: Columns of a bin in which runs of neighbouring rows meet.
+RUN_BIN = 64
+
+
 def cell_components(cells: DataFrame, keys: list[str], eight: bool = True, min_cells: int = 1) -> DataFrame:
     """Connected components of cells (keys, y, x): keys, ordinal, bounds and size, in reading order.
 
     Rows are first reduced to runs; runs that touch in neighbouring rows are edges of a graph, whose
-    components are found by label rounds. A run is looked up by both of its neighbour rows only.
+    components are found by label rounds. Runs meet by bins of columns, each in the bins that it covers,
+    so a long row of many runs is no pair of all its runs.
     """
     from pyspark.sql import Window as W
 
     flat = runs(cells, [*keys, "y"], "x").select(*keys, F.col("y").cast("long").alias("y"), F.col("start").alias("x0"), F.col("stop").alias("x1"), "size")
-    flat = cut(flat.withColumn("node", F.row_number().over(W.partitionBy(*keys).orderBy("y", "x0")).cast("long")))
-    code = F.xxhash64(*keys, "node")
-    flat = cut(flat.withColumn("node", code))
-    up = flat.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("b"))
+    flat = cut(flat.withColumn("node", F.xxhash64(*keys, "y", "x0")))
     reach = 1 if eight else 0
-    touch = flat.join(up, [*keys, "y"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("a1") >= F.col("x0") - reach))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / RUN_BIN).cast("long"), F.floor(b / RUN_BIN).cast("long"))).alias("bin")
+    low = flat.select(*keys, "y", "x0", "x1", "node", bins(F.col("x0"), F.col("x1")))
+    up = flat.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("b"), bins(F.col("x0") - reach, F.col("x1") + reach))
+    touch = low.join(up, [*keys, "y", "bin"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("a1") >= F.col("x0") - reach))
     labels = components(touch.select(F.col("node").alias("a"), "b"))
     named = flat.join(labels.withColumnRenamed("node", "_n"), flat["node"] == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
     boxes = named.groupBy(*keys, "component").agg(F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"), F.sum("size").alias("cells"))

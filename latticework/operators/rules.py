@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..lineage import cut
 
 # Default patterns of names that describe nothing, and default limits.
 NON_DESCRIPTIVE = (r"^img[ _-]?\d+$", r"^(final|new|copy|test|untitled)\d*$", r"^aaa\d*$", r"^bad[_ -]?name")
@@ -47,19 +50,41 @@ def majority_sizes(df: DataFrame, group: str, w: str, h: str) -> DataFrame:
     return best.select(group, F.col(f"m.{w}").alias("majority_w"), F.col(f"m.{h}").alias("majority_h"), "members")
 
 
-def band_widths(bits: int, threshold: int) -> list[tuple[int, int]]:
-    """threshold + 1 bands (first bit, width): two words within the threshold agree in one of them."""
-    edges = [bits * i // (threshold + 1) for i in range(threshold + 2)]
+def band_widths(bits: int, bands: int) -> list[tuple[int, int]]:
+    """Bands (first bit, width) of a word."""
+    edges = [bits * i // bands for i in range(bands + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def band_keys(word: Column, threshold: int, bits: int = 64) -> Column:
-    """Array of longs, one a band, that differ between bands."""
+#: Bit patterns that are tried for each band, at most.
+PROBES = 400
+
+
+def band_plan(words: int, threshold: int, bits: int = 64) -> tuple[int, int]:
+    """(bands, radius) that cost least for so many words: two words within the threshold are within the
+    radius in one band, so one side looks up every pattern that near, and the other its own.
+
+    Many narrow bands need few lookups but have few, large buckets; few wide ones the reverse.
+    """
+    best = None
+    for bands in range(1, min(threshold + 1, bits) + 1):
+        radius, width = threshold // bands, bits // bands
+        probes = sum(math.comb(-(-bits // bands), i) for i in range(radius + 1))
+        if probes <= PROBES or bands == threshold + 1:
+            cost = words * bands * probes * (1 + words / 2**width)
+            best = min(best or (cost, bands, radius), (cost, bands, radius))
+    return best[1:]
+
+
+def band_keys(word: Column, bands: int, radius: int = 0, bits: int = 64) -> Column:
+    """Array of longs, one for each band and pattern of up to `radius` other bits, that differ between bands."""
     parts = []
-    for n, (first, width) in enumerate(band_widths(bits, threshold)):
+    for n, (first, width) in enumerate(band_widths(bits, bands)):
         part = word if width >= 64 else F.shiftrightunsigned(word, first).bitwiseAND(F.lit((1 << width) - 1))
-        parts.append(F.xxhash64(F.lit(n), part))
-    return F.array(*parts)
+        flips = [sum(1 << i for i in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
+        flips = F.array(*[F.lit(f if f < 1 << 63 else f - (1 << 64)).cast("long") for f in flips])
+        parts.append(F.transform(flips, lambda f, n=n, part=part: F.xxhash64(F.lit(n), part.bitwiseXOR(f))))
+    return F.flatten(F.array(*parts))
 
 
 def near_pairs(df: DataFrame, key: str, word: str, threshold: int) -> DataFrame:
@@ -68,10 +93,10 @@ def near_pairs(df: DataFrame, key: str, word: str, threshold: int) -> DataFrame:
     Equal words are one node first, so a group of copies is no bucket of pairs; then an equi-join on
     bands and a check of the distance. Copies are linked to the least key of their word.
     """
-    words = df.groupBy(F.col(word).alias("w")).agg(F.min(key).alias("k"))
-    keyed = words.withColumn("band", F.explode(band_keys(F.col("w"), threshold)))
-    a = keyed.select("band", F.col("w").alias("wa"), F.col("k").alias("ka"))
-    b = keyed.select("band", F.col("w").alias("wb"), F.col("k").alias("kb"))
+    words = cut(df.groupBy(F.col(word).alias("w")).agg(F.min(key).alias("k")))
+    bands, radius = band_plan(words.count(), threshold)
+    a = words.select(F.explode(band_keys(F.col("w"), bands, radius)).alias("band"), F.col("w").alias("wa"), F.col("k").alias("ka"))
+    b = words.select(F.explode(band_keys(F.col("w"), bands)).alias("band"), F.col("w").alias("wb"), F.col("k").alias("kb"))
     close = a.join(b, "band").where(S.hamming(F.col("wa"), F.col("wb")) <= threshold)
     return close.select("wa", "wb", "ka", "kb", S.hamming(F.col("wa"), F.col("wb")).alias("distance")).distinct()
 
@@ -84,9 +109,10 @@ def first_duplicates(assets: DataFrame, threshold: int = HAMMING_THRESHOLD, colo
     candidate is matched with the least `ord` among near nodes that is earlier, exact or near alike.
     """
     feature = ["hash", "bits", "r", "g", "b"]
-    nodes = assets.groupBy(*feature).agg(F.min("ord").alias("least"))
-    banded = nodes.withColumn("band", F.explode(band_keys(F.col("bits"), threshold)))
-    left = banded.select("band", *[F.col(c).alias(f"x_{c}") for c in [*feature, "least"]])
+    nodes = cut(assets.groupBy(*feature).agg(F.min("ord").alias("least")))
+    bands, radius = band_plan(nodes.count(), threshold)
+    banded = nodes.withColumn("band", F.explode(band_keys(F.col("bits"), bands)))
+    left = nodes.select(F.explode(band_keys(F.col("bits"), bands, radius)).alias("band"), *[F.col(c).alias(f"x_{c}") for c in [*feature, "least"]])
     apart = F.greatest(*[F.abs(F.col(f"x_{c}") - F.col(c)) for c in ("r", "g", "b")])
     exact = F.col("x_hash") == F.col("hash")
     distance = S.hamming(F.col("x_bits"), F.col("bits"))

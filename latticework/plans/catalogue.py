@@ -164,23 +164,32 @@ def run_components(spark, sf_dir):
     return G.runs(table(spark, sf_dir, "events").select("user_id", hour.alias("p0")), ["user_id"], "p0")
 
 
-@query("graph_components", """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_discount = 0.1 AND l_quantity = 50),
-         u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-         r(node, seen) AS (SELECT a, a FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.node)
-    SELECT node, min(seen) AS component FROM r GROUP BY node""")
-def graph_components(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_discount = 0.1 AND l_quantity = 50")
-    return G.components(rows.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
+_LABELS_SQL = """
+         l(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION
+             SELECT u.b, min(l.component) FROM l JOIN u ON u.a = l.node JOIN recurring.l AS k ON k.node = u.b WHERE l.component < k.component GROUP BY u.b)"""
 
 
-@query("graph_components_all")
-def graph_components_all(spark, sf_dir):
-    """The whole part-supplier graph; `graph_components` keeps the few edges that its SQL names."""
+@query("graph_components", f"""
+    WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {_LABELS_SQL}
+    SELECT node, component FROM l""")
+def graph_components(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     return G.components(rows.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
 
 
+@query("graph_components_sparse", f"""
+    WITH RECURSIVE p AS (SELECT p_partkey * 3 AS a, substr(p_brand, 7)::BIGINT AS brand, p_size, floor(p_retailprice)::BIGINT AS price FROM part),
+         e AS (SELECT a, (brand * 1000 + p_size) * 3 + 1 AS b FROM p UNION SELECT a, (brand * 1000000 + price) * 3 + 2 FROM p), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {_LABELS_SQL}
+    SELECT node, component FROM l""")
+def graph_components_sparse(spark, sf_dir):
+    """Parts that share a brand and size, or a brand and price: many components of all sizes."""
+    brand, node = F.substring("p_brand", 7, 9).cast("long"), (F.col("p_partkey") * 3).alias("a")
+    parts = table(spark, sf_dir, "part")
+    sizes = parts.select(node, ((brand * 1000 + F.col("p_size")) * 3 + 1).alias("b"))
+    prices = parts.select(node, ((brand * 1000000 + F.floor("p_retailprice").cast("long")) * 3 + 2).alias("b"))
+    return G.components(sizes.unionByName(prices))
+
+
 _REGIONS = [("hero", 0, 0, 10, 20000), ("middle", 20, 10000, 15, 20000), ("wide", 5, 15000, 30, 40000)]
 
 
@@ -193,11 +202,11 @@ def manual_regions(spark, sf_dir):
 
 
 @query("skipped_regions", """
-    WITH c AS (SELECT DISTINCT l_returnflag AS f, floor(l_quantity / 2)::BIGINT AS col, floor(l_extendedprice / 4000)::BIGINT AS row FROM lineitem)
-    SELECT f, row, col, 'fully-transparent' AS reason FROM (SELECT DISTINCT f FROM c), range(26) a(row), range(26) b(col) WHERE (f, row, col) NOT IN (SELECT f, row, col FROM c)""")
+    WITH c AS (SELECT DISTINCT l_returnflag AS f, floor(l_quantity)::BIGINT AS col, floor(l_extendedprice / 1000)::BIGINT AS row FROM lineitem)
+    SELECT f, row, col, 'fully-transparent' AS reason FROM (SELECT DISTINCT f FROM c), range(105) a(row), range(51) b(col) WHERE (f, row, col) NOT IN (SELECT f, row, col FROM c)""")
 def skipped_regions(spark, sf_dir):
-    cells = C.bin_cells(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 2, 4000, ["l_returnflag"]).select(F.col("l_returnflag").alias("f"), F.col("row").alias("y"), F.col("col").alias("x"))
-    empty = C.invert(cells, cells.select("f").distinct(), 26, 26)
+    cells = C.bin_cells(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 1, 1000, ["l_returnflag"]).select(F.col("l_returnflag").alias("f"), F.col("row").alias("y"), F.col("col").alias("x"))
+    empty = C.invert(cells, cells.select("f").distinct(), 105, 51)
     return empty.select("f", F.col("y").alias("row"), F.col("x").alias("col"), F.lit("fully-transparent").alias("reason"))
 
 
@@ -262,57 +271,57 @@ def edge_extend(spark, sf_dir):
 # ---- masks and layers
 
 
-_MASK_SQL = "SELECT DISTINCT floor(l_extendedprice / 4000)::BIGINT AS y, floor(l_quantity / 2)::BIGINT AS x FROM lineitem WHERE l_discount = 0.05 AND l_tax = 0.02"
+# every discount and tax is a layer, of cells of quantity and price
+_MASK_SQL = "SELECT DISTINCT (round(l_discount * 100) * 100 + round(l_tax * 100))::BIGINT AS layer, floor(l_extendedprice / 4000)::BIGINT AS y, floor(l_quantity / 2)::BIGINT AS x FROM lineitem"
+
 
+def _mask(spark, sf_dir, wide: int = 2, high: int = 4000) -> DataFrame:
+    layer = (F.round(F.col("l_discount") * 100) * 100 + F.round(F.col("l_tax") * 100)).cast("long")
+    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    return table(spark, sf_dir, "lineitem").select(layer.alias("layer"), cell("l_extendedprice", high).alias("y"), cell("l_quantity", wide).alias("x")).distinct()
 
-def _mask(spark, sf_dir, where: str = "l_discount = 0.05 AND l_tax = 0.02") -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(where)
-    return rows.select(F.floor(F.col("l_extendedprice") / 4000).cast("long").alias("y"), F.floor(F.col("l_quantity") / 2).cast("long").alias("x")).distinct()
+
+_FRAME_SQL = "SELECT layer, y, x FROM (SELECT DISTINCT layer FROM m), range(30) a(y), range(30) b(x)"
 
 
 @query("mask_dilate", f"""
-    WITH m AS ({_MASK_SQL}) SELECT DISTINCT y + dy AS y, x + dx AS x FROM m, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 29 AND x + dx BETWEEN 0 AND 29""")
+    WITH m AS ({_MASK_SQL}) SELECT DISTINCT layer, y + dy AS y, x + dx AS x FROM m, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE y + dy BETWEEN 0 AND 29 AND x + dx BETWEEN 0 AND 29""")
 def mask_dilate(spark, sf_dir):
     return C.dilate(_mask(spark, sf_dir), 1, 30, 30)
 
 
 @query("mask_erode", f"""
-    WITH m AS ({_MASK_SQL}), g AS (SELECT y, x FROM range(30) a(y), range(30) b(x)), o AS (SELECT y, x FROM g EXCEPT SELECT y, x FROM m),
-         d AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM o, range(-1, 2) a(dy), range(-1, 2) b(dx)) SELECT y, x FROM (SELECT y, x FROM m WHERE y BETWEEN 0 AND 29 AND x BETWEEN 0 AND 29) EXCEPT SELECT y, x FROM d""")
+    WITH m AS ({_MASK_SQL}), o AS ({_FRAME_SQL} EXCEPT SELECT layer, y, x FROM m),
+         d AS (SELECT DISTINCT layer, y + dy AS y, x + dx AS x FROM o, range(-1, 2) a(dy), range(-1, 2) b(dx)) SELECT layer, y, x FROM m WHERE y BETWEEN 0 AND 29 AND x BETWEEN 0 AND 29 EXCEPT SELECT layer, y, x FROM d""")
 def mask_erode(spark, sf_dir):
     return C.erode(_mask(spark, sf_dir).where("y BETWEEN 0 AND 29 AND x BETWEEN 0 AND 29"), 1, 30, 30)
 
 
-_OTHER = "l_discount = 0.04 AND l_tax = 0.02"
-
-
 @query("mask_algebra", f"""
-    WITH a AS ({_MASK_SQL}), b AS ({_MASK_SQL.replace("0.05", "0.04")})
-    SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'overlap', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
-    UNION ALL SELECT 'invert', count(*) FROM (SELECT y, x FROM range(30) p(y), range(30) q(x) EXCEPT SELECT y, x FROM a)""")
+    WITH m AS ({_MASK_SQL}), b AS (SELECT layer + 100 AS layer, y, x FROM m)
+    SELECT 'union' AS op, layer, count(*) AS n FROM (SELECT * FROM m UNION SELECT * FROM b) GROUP BY layer UNION ALL SELECT 'overlap', layer, count(*) FROM (SELECT * FROM m INTERSECT SELECT * FROM b) GROUP BY layer
+    UNION ALL SELECT 'invert', layer, count(*) FROM ({_FRAME_SQL} EXCEPT SELECT layer, y, x FROM m) GROUP BY layer""")
 def mask_algebra(spark, sf_dir):
-    a, b = _mask(spark, sf_dir), _mask(spark, sf_dir, _OTHER)
-    frame = spark.range(1).select()
-    size = lambda d, op: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
-    return size(C.union(a, b), "union").unionByName(size(C.overlaps(a, b), "overlap")).unionByName(size(C.invert(a, frame, 30, 30), "invert"))
+    """Each layer with the one of the next lower discount, and against the whole image."""
+    a = _mask(spark, sf_dir)
+    b = a.withColumn("layer", F.col("layer") + 100)
+    size = lambda d, op: d.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "layer", "n")
+    return size(C.union(a, b), "union").unionByName(size(C.overlaps(a, b), "overlap")).unionByName(size(C.invert(a, a.select("layer").distinct(), 30, 30), "invert"))
 
 
 @query("nearest_cell", f"""
-    WITH m AS ({_MASK_SQL}), t AS (SELECT y, x FROM range(30) a(y), range(30) b(x) EXCEPT SELECT y, x FROM m),
-         c AS (SELECT t.y, t.x, greatest(abs(dy), abs(dx)) AS ring, dy, dx, m.y * 100 + m.x AS v FROM t, range(-2, 3) a(dy), range(-2, 3) b(dx), m WHERE m.y = t.y + dy AND m.x = t.x + dx)
-    SELECT y, x, arg_min(v, row(ring, dy, dx)) AS v, min(ring) AS ring FROM c GROUP BY 1, 2""")
+    WITH m AS ({_MASK_SQL}), t AS ({_FRAME_SQL} EXCEPT SELECT layer, y, x FROM m),
+         c AS (SELECT t.layer, t.y, t.x, greatest(abs(dy), abs(dx)) AS ring, dy, dx, m.y * 100 + m.x AS v FROM t, range(-2, 3) a(dy), range(-2, 3) b(dx), m WHERE m.layer = t.layer AND m.y = t.y + dy AND m.x = t.x + dx)
+    SELECT layer, y, x, arg_min(v, row(ring, dy, dx)) AS v, min(ring) AS ring FROM c GROUP BY 1, 2, 3""")
 def nearest_cell(spark, sf_dir):
     mask = _mask(spark, sf_dir)
-    targets = C.invert(mask, spark.range(1).select(), 30, 30)
+    targets = C.invert(mask, mask.select("layer").distinct(), 30, 30)
     return C.nearest_cells(targets, mask.withColumn("v", F.col("y") * 100 + F.col("x")), 2, "v")
 
 
 @query("boundary_edges", f"""
-    WITH m AS ({_MASK_SQL})
-    SELECT y AS y1, x AS x1, y AS y2, x + 1 AS x2 FROM m WHERE (y - 1, x) NOT IN (SELECT y, x FROM m)
-    UNION ALL SELECT y, x + 1, y + 1, x + 1 FROM m WHERE (y, x + 1) NOT IN (SELECT y, x FROM m)
-    UNION ALL SELECT y + 1, x + 1, y + 1, x FROM m WHERE (y + 1, x) NOT IN (SELECT y, x FROM m)
-    UNION ALL SELECT y + 1, x, y, x FROM m WHERE (y, x - 1) NOT IN (SELECT y, x FROM m)""")
+    WITH m AS ({_MASK_SQL}), s(dy, dx, ay, ax, by_, bx) AS (VALUES (-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0))
+    SELECT m.layer, m.y + ay AS y1, m.x + ax AS x1, m.y + by_ AS y2, m.x + bx AS x2 FROM m CROSS JOIN s LEFT JOIN m AS o ON o.layer = m.layer AND o.y = m.y + dy AND o.x = m.x + dx WHERE o.layer IS NULL""")
 def boundary_edges(spark, sf_dir):
     return C.boundary_edges(_mask(spark, sf_dir))
 
@@ -326,12 +335,12 @@ def grid_mesh(spark, sf_dir):
 
 
 @query("cell_components", f"""
-    WITH RECURSIVE m AS ({_MASK_SQL}), u AS (SELECT a.y * 1000 + a.x AS a, b.y * 1000 + b.x AS b FROM m a JOIN m b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
-         r(node, seen) AS (SELECT a, a FROM u UNION SELECT u.b, r.seen FROM r JOIN u ON u.a = r.node), c AS (SELECT node, min(seen) AS k FROM r GROUP BY 1)
-    SELECT min(node % 1000) AS x, min(node // 1000) AS y, max(node % 1000) - min(node % 1000) + 1 AS width, max(node // 1000) - min(node // 1000) + 1 AS height, count(*) AS cells FROM c GROUP BY k HAVING count(*) >= 2""")
+    WITH RECURSIVE m AS ({_MASK_SQL.replace("4000", "1000").replace("l_quantity / 2", "l_quantity")}), n AS (SELECT *, layer * 1000000 + y * 1000 + x AS a FROM m),
+         u AS (SELECT n.a, o.a AS b FROM n, range(-1, 2) p(dy), range(-1, 2) q(dx), n AS o WHERE o.layer = n.layer AND o.y = n.y + dy AND o.x = n.x + dx), {_LABELS_SQL}
+    SELECT component // 1000000 AS layer, min(node % 1000) AS x, min(node // 1000 % 1000) AS y, max(node % 1000) - min(node % 1000) + 1 AS width, max(node // 1000 % 1000) - min(node // 1000 % 1000) + 1 AS height, count(*) AS cells FROM l GROUP BY component HAVING count(*) >= 2""")
 def cell_components(spark, sf_dir):
-    rows = _mask(spark, sf_dir).withColumn("m", F.lit("mask"))
-    return G.cell_components(rows, ["m"], eight=True, min_cells=2).select("x", "y", "width", "height", "cells")
+    found = G.cell_components(_mask(spark, sf_dir, 1, 1000), ["layer"], eight=True, min_cells=2)
+    return found.select("layer", "x", "y", "width", "height", "cells")
 
 
 @query("compose_latest", "SELECT user_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events WHERE value > 10 GROUP BY 1")
@@ -363,21 +372,11 @@ def manifest_join(spark, sf_dir):
 
 
 @query("knn_weights", """
-    WITH a AS (SELECT s_suppkey, s_acctbal AS ax, s_nationkey * 400.0 AS ay FROM supplier WHERE s_suppkey <= 20),
-         p AS (SELECT c_custkey, s_suppkey, sqrt((c_acctbal - ax) ** 2 + (c_nationkey * 400.0 - ay) ** 2) AS d FROM customer, a),
-         k AS (SELECT *, CASE WHEN d = 0 THEN 1e6 ELSE 1 / d END AS w FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) <= 2)
-    SELECT c_custkey AS point, s_suppkey AS anchor, round(w / sum(w) OVER (PARTITION BY c_custkey), 6) AS weight FROM k""")
-def knn_weights(spark, sf_dir):
-    return _knn(spark, sf_dir, table(spark, sf_dir, "supplier").where("s_suppkey <= 20"))
-
-
-@query("knn_weights_all", """
     WITH a AS (SELECT s_suppkey, s_acctbal AS ax, s_nationkey * 400.0 AS ay FROM supplier),
          p AS (SELECT c_custkey, s_suppkey, sqrt((c_acctbal - ax) ** 2 + (c_nationkey * 400.0 - ay) ** 2) AS d FROM customer, a),
          k AS (SELECT *, CASE WHEN d = 0 THEN 1e6 ELSE 1 / d END AS w FROM p QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) <= 2)
     SELECT c_custkey AS point, s_suppkey AS anchor, round(w / sum(w) OVER (PARTITION BY c_custkey), 6) AS weight FROM k""")
-def knn_weights_all(spark, sf_dir):
-    """Every supplier is an anchor; `knn_weights` keeps the short rig that its SQL names."""
+def knn_weights(spark, sf_dir):
     return _knn(spark, sf_dir, table(spark, sf_dir, "supplier"))
 
 
@@ -387,14 +386,14 @@ def _knn(spark, sf_dir, suppliers: DataFrame) -> DataFrame:
     return C.nearest_weights(points, anchors, 2).select("point", "anchor", F.round("weight", 6).alias("weight"))
 
 
-_TREE = [("root", None), ("body", "root"), ("head", "body"), ("arm", "ghost"), ("a", "b"), ("b", "c"), ("c", "a")]
+_TREE = [("root", None), ("body", "root"), ("head", "body"), ("arm", "ghost"), ("a", "b"), ("b", "c"), ("c", "a"), ("tail", "tip"), ("tip", "a")]
 
 
 @query("hierarchy_check", """
-    WITH RECURSIVE t(id, parent) AS (VALUES ('root', NULL), ('body', 'root'), ('head', 'body'), ('arm', 'ghost'), ('a', 'b'), ('b', 'c'), ('c', 'a')),
+    WITH RECURSIVE t(id, parent) AS (VALUES ('root', NULL), ('body', 'root'), ('head', 'body'), ('arm', 'ghost'), ('a', 'b'), ('b', 'c'), ('c', 'a'), ('tail', 'tip'), ('tip', 'a')),
          n AS (SELECT * FROM t UNION ALL SELECT n_name, CASE WHEN n_nationkey % 9 = 0 THEN 'NOWHERE' ELSE r_name END FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL FROM region),
          r(id, up) AS (SELECT id, parent FROM n WHERE parent IS NOT NULL UNION SELECT r.id, n.parent FROM r JOIN n ON r.up = n.id WHERE n.parent IS NOT NULL)
-    SELECT id, 'missing-parent' AS problem FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n) UNION ALL SELECT DISTINCT id, 'cycle' FROM r WHERE id = up""")
+    SELECT id, 'missing-parent' AS problem FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n) UNION ALL SELECT DISTINCT id, 'cycle' FROM r WHERE up IN (SELECT id FROM r WHERE id = up)""")
 def hierarchy_check(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     own = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("id"), F.when(F.col("n_nationkey") % 9 == 0, "NOWHERE").otherwise(F.col("r_name")).alias("parent"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import uuid
@@ -56,6 +57,58 @@ class Scripted:
         return out
 
 
+def _post(url: str, headers: dict[str, str], body: bytes) -> tuple[int, bytes]:
+    from urllib import error, request
+
+    try:
+        with request.urlopen(request.Request(url, body, headers, method="POST"), timeout=60) as r:
+            return r.status, r.read()
+    except error.HTTPError as e:
+        return e.code, b""
+
+
+@dataclass
+class Hosted:
+    """A model behind a chat-completions endpoint at `base`. Nothing uses it unless it is passed in; `send`
+    (url, headers, body) -> (status, body) can be replaced, so tests need no network."""
+
+    base: str
+    key: str
+    model: str
+    send: Callable[[str, dict[str, str], bytes], tuple[int, bytes]] = _post
+    id: str = "openai"
+
+    def answer(self, name: str, prompt: str, image: bytes | None = None) -> str:
+        content = [{"type": "text", "text": prompt}]
+        if image is not None:
+            content.append({"type": "image_url", "image_url": {"url": f"data:image/png;base64,{base64.b64encode(image).decode()}"}})
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": content}]}).encode()
+        try:
+            status, said = self.send(f"{self.base.rstrip('/')}/chat/completions", {"content-type": "application/json", "authorization": f"Bearer {self.key}"}, body)
+        except OSError as e:
+            raise ProviderError("AI_PROVIDER_FAILED", f"request failed: {e}") from e
+        if not 200 <= status < 300:
+            raise ProviderError("AI_PROVIDER_FAILED", f"HTTP {status} from provider")
+        try:
+            text = json.loads(said)["choices"][0]["message"]["content"]
+        except (ValueError, LookupError, TypeError):
+            text = None
+        if not isinstance(text, str):
+            raise ProviderError("AI_PROVIDER_FAILED", "response has no message content")
+        return text
+
+
+@dataclass
+class Reserved:
+    """The place of a local model; every call fails."""
+
+    id: str = "local"
+    model: str = "local-reserved"
+
+    def answer(self, name: str, prompt: str) -> str:
+        raise ProviderError("AI_LOCAL_NOT_IMPLEMENTED", "the local provider is reserved; use mock or pass a Provider")
+
+
 @dataclass(frozen=True)
 class Settings:
     enabled: bool = False
@@ -87,16 +140,16 @@ def answer_column(settings: Settings, name) -> object:
 
 
 def ask(requests: DataFrame, provider: Provider, kind: str = "understand") -> DataFrame:
-    """(key, name, value, error) for requests (key, name): one call a row, failures as rows."""
-    prompt = PROMPTS[kind]
+    """(key, name, value, error) for requests (key, name, and png if there is one): one call a row, failures as rows."""
+    prompt, pictures = PROMPTS[kind], "png" in requests.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, names = (batch.column(i).to_pylist() for i in (0, 1))
             values, errors = [], []
-            for name in names:
+            for n, name in enumerate(names):
                 try:
-                    values.append(provider.answer(name, prompt))
+                    values.append(provider.answer(name, prompt, *([batch.column(2)[n].as_py()] if pictures else [])))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  any failure of a provider is a row
                     values.append(None)
@@ -104,7 +157,7 @@ def ask(requests: DataFrame, provider: Provider, kind: str = "understand") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (keys, names, values, errors)], names=["key", "name", "value", "error"])
 
     ship(requests.sparkSession)
-    return requests.select("key", "name").mapInArrow(run, "key string, name string, value string, error string")
+    return requests.select("key", "name", *(["png"] if pictures else [])).mapInArrow(run, "key string, name string, value string, error string")
 
 
 def keyed(assets: DataFrame, settings: Settings, model: str = "mock-1") -> DataFrame:

@@ -43,3 +43,31 @@ def test_project():
     assert project.check(doc, files, image, cells)["violations"] == 0
     bad = doc | {"projectVersion": 2, "asset": {"source": "", "width": 0, "height": 1}, "mesh": {}, "bones": [{"id": "a", "name": "a", "parent": "b"}, {"id": "b", "name": "b", "parent": "a"}, {"id": "c", "name": "c", "parent": "x"}]}
     assert [p for p, _ in project.problems_of(bad)] == ["projectVersion", "asset.source", "asset.width", "mesh", "bones[c]", "bones[a]", "bones[b]"]
+
+
+def test_hosted_provider(spark):
+    seen = []
+
+    def send(url, headers, body):
+        seen.append((url, headers, json.loads(body)))
+        return 200, json.dumps({"choices": [{"message": {"content": "```json\n{}\n```"}}]}).encode()
+
+    hosted = provider.Hosted("https://host.example/v1/", "secret", "m-1", send)
+    assert hosted.answer("a.png", "look", b"\x89PNG") == "```json\n{}\n```"
+    url, headers, body = seen[0]
+    assert url == "https://host.example/v1/chat/completions" and headers["authorization"] == "Bearer secret"
+    assert body["model"] == "m-1" and [c["type"] for c in body["messages"][0]["content"]] == ["text", "image_url"]
+    assert body["messages"][0]["content"][1]["image_url"]["url"] == "data:image/png;base64,iVBORw=="
+    for status, said, message in ((500, b"", "HTTP 500"), (200, b"no json", "no message"), (200, b'{"choices": []}', "no message"), (200, b'{"choices": [{"message": {"content": 1}}]}', "no message")):
+        with pytest.raises(provider.ProviderError, match=message):
+            provider.Hosted("x", "k", "m", lambda *_, r=(status, said): r).answer("a", "p")
+
+    def down(*_):
+        raise OSError("no route")
+
+    with pytest.raises(provider.ProviderError, match="request failed: no route"):
+        provider.Hosted("x", "k", "m", down).answer("a", "p")
+    requests = spark.createDataFrame([("k1", "a.png", bytearray(b"1"))], "key string, name string, png binary")
+    ok = provider.Hosted("x", "k", "m", lambda *_: (200, b'{"choices": [{"message": {"content": "yes"}}]}'))
+    assert [tuple(r) for r in provider.ask(requests, ok).collect()] == [("k1", "a.png", "yes", None)]
+    assert "reserved" in provider.ask(requests.drop("png"), provider.Reserved()).first().error

@@ -60,7 +60,7 @@ def union_find(edges):
 
 def test_components_of_all_edges_against_union_find(spark):
     edges = [(r.l_partkey * 2, r.l_suppkey * 2 + 1) for r in catalogue.table(spark, SF, "lineitem").collect()]
-    got = catalogue.QUERIES["graph_components_all"](spark, SF).collect()
+    got = catalogue.QUERIES["graph_components"](spark, SF).collect()
     assert {r.node: r.component for r in got} == union_find(edges) and len(got) == len({n for e in edges for n in e})
 
 
@@ -90,3 +90,47 @@ def test_hierarchy_tails_and_long_cycles(spark):
     got = [tuple(r) for r in G.hierarchy_problems(spark.createDataFrame(list(parent.items()), "id string, parent string")).collect()]
     assert len(got) == len(want) == 177 and set(got) == want
     assert G.hierarchy_problems(spark.createDataFrame([("a", None), ("b", "a")], "id string, parent string")).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 5, 16])
+def test_band_plans_find_all_pairs(spark, monkeypatch, threshold):
+    from latticework.operators import rules
+
+    rng = random.Random(threshold)
+    words = [rng.getrandbits(64) for _ in range(60)]
+    for w in words[:40]:
+        for _ in range(3):
+            flips = sum(1 << i for i in rng.sample(range(64), rng.choice([threshold, threshold + 1, threshold // 2])))
+            words.append(w ^ flips)
+    rows = [(i, w - (1 << 64) if w >= 1 << 63 else w) for i, w in enumerate(words)]
+    want = {(i, j) for i in range(len(words)) for j in range(len(words)) if words[i] < words[j] and (words[i] ^ words[j]).bit_count() <= threshold}
+    for size in (10, 10**6):
+        plan = rules.band_plan(size, threshold)
+        assert plan[1] == threshold // plan[0]
+        monkeypatch.setattr(rules, "band_plan", lambda *_, plan=plan: plan)
+        got = rules.near_pairs(spark.createDataFrame(rows, "k long, w long"), "k", "w", threshold).select("ka", "kb").collect()
+        assert {tuple(sorted(r)) for r in got if r.ka != r.kb} == {tuple(sorted(p)) for p in want if words[p[0]] != words[p[1]]}
+        monkeypatch.undo()
+
+
+def test_cell_components_against_a_flood(spark):
+    rng = random.Random(2)
+    cells = {(k, y, x) for k in "ab" for y in range(12) for x in range(-70, 200) if rng.random() < (0.5 if k == "a" else 0.2)}
+    cells |= {("c", 0, x) for x in range(300)} | {("c", 1, x) for x in range(0, 300, 2)} | {("c", 2, 7)}
+    for eight in (True, False):
+        left, want = set(cells), []
+        while left:
+            todo, found = [left.pop()], []
+            while todo:
+                k, y, x = todo.pop()
+                found.append((k, y, x))
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        n = (k, y + dy, x + dx)
+                        if n in left and (eight or not dy or not dx):
+                            left.remove(n)
+                            todo.append(n)
+            ys, xs = [c[1] for c in found], [c[2] for c in found]
+            want.append((found[0][0], min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(found)))
+        got = G.cell_components(spark.createDataFrame(sorted(cells), "k string, y long, x long"), ["k"], eight).collect()
+        assert sorted((r.k, r.x, r.y, r.width, r.height, r.cells) for r in got) == sorted(want)
