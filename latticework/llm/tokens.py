@@ -21,7 +21,7 @@ import numpy as np
 #: Entries of a worker's cache (about 200 bytes each).
 CACHE = 350_000
 _ODD = re.compile(r"\s(?=\s*[ ]|\Z)|\A\s")
-_SAMPLE = "It's 12 o'clock,\nwe'll  see  what\tÉtienne says: naïve ünïcödé 漢字  x <|endoftext|> end. "
+_SAMPLE = "It's 12 o'clock,\nwe'll  see  what\tÉtienne says: naïve ünïcödé 漢字  x <|end|> end. "
 #: The split pattern of byte-level BPE.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
