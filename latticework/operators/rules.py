@@ -83,7 +83,7 @@ def band_keys(word: Column, bands: int, radius: int = 0, bits: int = 64) -> Colu
         part = word if width >= 64 else F.shiftrightunsigned(word, first).bitwiseAND(F.lit((1 << width) - 1))
         flips = [sum(1 << i for i in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
         flips = F.array(*[F.lit(f if f < 1 << 63 else f - (1 << 64)).cast("long") for f in flips])
-        parts.append(F.transform(flips, lambda f, n=n, part=part: F.xxhash64(F.lit(n), part.bitwiseXOR(f))))
+        parts.append(F.transform(flips, lambda f: F.xxhash64(F.lit(n), part.bitwiseXOR(f))))  # noqa: B023  called at once
     return F.flatten(F.array(*parts))
 
 
