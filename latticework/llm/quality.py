@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, cut, drop_written, row_key, without, words_of, written
+from .common import SPACE_CLASS, cut, drop_written, row_key, without, words_of, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -34,11 +34,14 @@ MIN_GROUP = 60
 #: Share of a group that the estimate must cover.
 COVERAGE = 0.75
 C_STEPS, TRIAL_STEPS = 4, 2
+#: Groups whose estimates (about 200 bytes each) may go to all executors; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 #: Factor that makes the covariance of the nearest `COVERAGE` right for normal rows in four dimensions:
 #: COVERAGE / P(chi-square with 6 degrees of freedom <= 5.385), 5.385 being the quantile of COVERAGE with 4.
 CONSISTENCY = 1.4864
-#: Chi-square quantile 1 - 1e-12 with 4 degrees of freedom: statistics of clean texts have heavy tails.
-CUTOFF = 61.0
+#: Chi-square quantile 1 - 1e-6 with 4 degrees of freedom. On labelled clean rows distances follow that law
+#: (99 % lie below 13.5, the quantile is 13.3); junk lies far beyond (half of it above 4,000).
+CUTOFF = 33.4
 #: A statistic's standard deviation counts as this much at least (thousandths); constant ones divide by it.
 FLOOR = (100, 60, 40, 200)
 DIMS = ("z_len", "z_word", "z_sym", "z_dup")
@@ -73,8 +76,8 @@ def text_statistics(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     return base.select(
         *keys,
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
     )
@@ -95,10 +98,11 @@ def _vector(stats: DataFrame) -> DataFrame:
 
 
 def _moments() -> list[Column]:
-    """Exact sums for mean and covariance: additive, so they are combined before the shuffle."""
+    """Exact sums for mean and covariance: additive, so they are combined before the shuffle. Products are
+    below 3e8, so a sum of 3e10 rows fits a long; beyond that Spark raises."""
     one = [F.count(F.lit(1)).alias("m")]
     one += [F.sum(z).alias(f"s_{z}") for z in DIMS]
-    return one + [F.sum((F.col(a) * F.col(b)).cast("decimal(20,0)")).alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
+    return one + [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
 
 
 def _cholesky(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,33 +139,25 @@ def _bin() -> Column:
     return F.greatest(F.lit(-320), F.least(F.lit(1280), F.floor(F.log2(F.col("d2") + 1e-9) * 32))).cast("int")
 
 
-#: Groups whose estimates (about 200 bytes each) may go to all executors; more are joined by shuffle.
-BROADCAST_GROUPS = 20_000
-
-
-def _per_group(params: DataFrame) -> DataFrame:
-    """A checkpointed table of groups, sent whole if it is small by count."""
-    return F.broadcast(params) if params.count() <= BROADCAST_GROUPS else params
-
-
-def _starts(vectors: DataFrame, size: DataFrame, group: list[str]) -> DataFrame:
-    """Three starts a group, as (group, start, share, centre, factor): medians with mean deviations about
+def _starts(vectors: DataFrame, size: DataFrame) -> DataFrame:
+    """Three starts a group, as (_group, start, share, centre, factor): medians with mean deviations about
     them; the same, but only the nearest half counts in the first step; medians with the covariance of
     spatial signs, which tells correlations whatever the tails are."""
-    at = vectors.join(size, group)
+    at = vectors.join(size, "_group")
     length = F.sqrt(reduce(lambda x, z: x + F.pow((F.col(z) - F.col(f"m_{z}")) / F.col(f"r_{z}"), 2), DIMS, F.lit(0.0)))
     at = at.withColumn("_length", F.when(length > 0, length))
     sign = {z: F.coalesce(F.rint(1000 * (F.col(z) - F.col(f"m_{z}")) / F.col(f"r_{z}") / F.col("_length")), F.lit(0.0)).cast("long") for z in DIMS}
     signs = [F.sum(sign[a] * sign[b]).alias(f"g_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
-    spread = at.groupBy(*group).agg(*[F.sum(F.abs(F.col(z) - F.col(f"m_{z}"))).alias(f"a_{z}") for z in DIMS], *signs)
-    known = cut(size.join(spread, group))
+    spread = at.groupBy("_group").agg(*[F.sum(F.abs(F.col(z) - F.col(f"m_{z}"))).alias(f"a_{z}") for z in DIMS], *signs)
+    known = cut(size.join(spread, "_group"))
     centre = [F.col(f"m_{z}").cast("double").alias(f"c_{z}") for z in DIMS]
     flat = [F.greatest(F.col(f"a_{z}") / F.col("n"), F.lit(float(f))).alias(f"l_{z}_{z}") for z, f in zip(DIMS, FLOOR)]
     flat += [F.lit(0.0).alias(f"l_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[:i]]
-    columns = [*group, "start", "share", *centre_names(), *factor_names()]
-    plain = known.select(*group, F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(COVERAGE).alias("share")), F.struct(F.lit(1).alias("start"), F.lit(0.5).alias("share")))).alias("x"), *centre, *flat).select(*group, "x.*", *centre_names(), *factor_names())
+    columns = ["_group", "start", "share", *centre_names(), *factor_names()]
+    both = F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(COVERAGE).alias("share")), F.struct(F.lit(1).alias("start"), F.lit(0.5).alias("share"))))
+    plain = known.select("_group", both.alias("x"), *centre, *flat).select("_group", "x.*", *centre_names(), *factor_names())
     scaled = [(F.col(f"g_{a}_{b}") / F.col("n") * len(DIMS) / 1e6 * F.col(f"r_{a}") * F.col(f"r_{b}")).alias(f"v_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
-    signed = _cholesky(known.select(*group, *centre, *scaled), group).select(*group, F.lit(2).alias("start"), F.lit(COVERAGE).alias("share"), *centre_names(), *factor_names())
+    signed = _cholesky(known.select("_group", *centre, *scaled), ["_group"]).withColumns({"start": F.lit(2), "share": F.lit(COVERAGE)})
     return plain.select(*columns).unionByName(signed.select(*columns))
 
 
@@ -173,62 +169,61 @@ def factor_names() -> list[str]:
     return [f"l_{a}_{b}" for i, a in enumerate(DIMS) for b in DIMS[: i + 1]]
 
 
-def _c_step(vectors: DataFrame, fit: DataFrame, size: DataFrame, group: list[str]) -> DataFrame:
-    """Means and covariances of the share of rows nearest to each fit (group, start, share, ...).
+def _c_step(vectors: DataFrame, fit: DataFrame, size: DataFrame) -> DataFrame:
+    """Means and covariances of the share of rows nearest to each fit (_group, start, share, ...).
 
     Sums by bin of distance are additive: one pass gives the histogram and, for any cut of it, the moments.
     """
-    own = [*group, "start", "share"]
-    by_bin = _distance(vectors.join(fit, group)).select(*own, *DIMS, _bin().alias("bin")).groupBy(*own, "bin").agg(*_moments())
+    own = ["_group", "start", "share"]
+    by_bin = _distance(vectors.join(fit, "_group")).select(*own, *DIMS, _bin().alias("bin")).groupBy(*own, "bin").agg(*_moments())
     before = Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    near = by_bin.withColumn("_before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(size.select(*group, "n"), group).where(F.col("_before") < F.ceil(F.col("n") * F.col("share")))
-    sums = near.groupBy(*own).agg(F.sum("m").alias("m"), *[F.sum(f"s_{z}").alias(f"s_{z}") for z in DIMS], *[F.sum(f"s_{a}_{b}").alias(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
+    near = by_bin.withColumn("_before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(size.select("_group", "n"), "_group").where(F.col("_before") < F.ceil(F.col("n") * F.col("share")))
+    wide = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    sums = near.groupBy(*own).agg(F.sum("m").alias("m"), *[wide(f"s_{z}") for z in DIMS], *[wide(f"s_{a}_{b}") for i, a in enumerate(DIMS) for b in DIMS[: i + 1]])
     return _fit(sums, own).withColumn("share", F.lit(COVERAGE))
 
 
-def mcd_fit(vectors: DataFrame, group: list[str], steps: int = C_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row a group: centre and Cholesky factor of the minimum-covariance-determinant estimate.
+def mcd_fit(vectors: DataFrame, steps: int = C_STEPS) -> DataFrame:
+    """_group, centre and Cholesky factor of the minimum-covariance-determinant estimate, for vectors (_group, z_*).
 
-    All starts take `TRIAL_STEPS`, the one with the least determinant the rest. `group` columns must not
-    be null.
+    All starts take `TRIAL_STEPS`, the one with the least determinant the rest.
     """
     quartiles = [F.percentile_approx(z, [0.25, 0.5, 0.75], 1000).alias(f"q_{z}") for z in DIMS]
-    size = vectors.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= min_group)
     middle = [F.col(f"q_{z}")[1].alias(f"m_{z}") for z in DIMS]
     spread = [F.greatest((F.col(f"q_{z}")[2] - F.col(f"q_{z}")[0]) / 1.349, F.lit(float(f))).alias(f"r_{z}") for z, f in zip(DIMS, FLOOR)]
-    size = _per_group(cut(size.select(*group, "n", *middle, *spread)))
-    fit = _starts(vectors, size, group)
+    size = cut(vectors.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *quartiles).select("_group", "n", *middle, *spread))
+    sent = F.broadcast if size.count() <= BROADCAST_GROUPS else lambda df: df
+    size = sent(size)
+    fit = _starts(vectors, size)
     for step in range(steps):
         if step == TRIAL_STEPS:
-            size_of = F.struct(F.round(reduce(lambda x, z: x + F.log(F.col(f"l_{z}_{z}")), DIMS, F.lit(0.0)), 9), "start")
-            least = [F.min_by(c, size_of).alias(c) for c in ("share", *centre_names(), *factor_names())]
-            fit = fit.groupBy(*group).agg(F.min_by("start", size_of).alias("start"), *least)
-        fit = _c_step(vectors, _per_group(cut(fit)), size, group)
+            order = F.struct(F.round(reduce(lambda x, z: x + F.log(F.col(f"l_{z}_{z}")), DIMS, F.lit(0.0)), 9), "start")
+            rest = ("start", "share", *centre_names(), *factor_names())
+            fit = fit.groupBy("_group").agg(F.min_by(F.struct(*rest), order).alias("x")).select("_group", "x.*")
+        fit = _c_step(vectors, sent(cut(fit)), size)
     # the nearest rows spread less than all; this makes the estimate right for normal ones
-    return cut(fit.select(*group, *centre_names(), *[(F.col(f) * CONSISTENCY**0.5).alias(f) for f in factor_names()]))
+    return cut(fit.select("_group", *centre_names(), *[(F.col(f) * CONSISTENCY**0.5).alias(f) for f in factor_names()]))
 
 
-def _estimates(vectors: DataFrame, **mcd) -> DataFrame:
-    """One estimate for each (_lang, _source) of `vectors`; `_wide` tells those of a wider group.
+def _groups(rows: DataFrame, min_group: int) -> DataFrame:
+    """_lang, _source, `_group` that judges their rows, `_feeds` the groups that they belong to, `_wide`.
 
-    The estimate of all rows has no least size, so every group gets one.
+    A language and source with `min_group` rows is a group of its own; else its language is, if it has as
+    many, else all rows together. Wide groups hold all rows of the language or of the table.
     """
-    group = ["_lang", "_source"]
-    own = mcd_fit(vectors, group, **mcd)
-    out = own.withColumn("_wide", F.lit(False))
-    few = cut(vectors.select(*group).distinct().join(own.select(*group), group, "left_anti"))
-    if not few.limit(1).count():
-        return out
-    by_lang = mcd_fit(vectors.join(_per_group(cut(few.select("_lang").distinct())), "_lang", "left_semi"), ["_lang"], **mcd)
-    wide = few.join(by_lang, "_lang")
-    rest = cut(few.join(by_lang, "_lang", "left_anti"))
-    if rest.limit(1).count():
-        of_all = mcd_fit(vectors.withColumn("_all", F.lit(0)), ["_all"], **(mcd | {"min_group": 1}))
-        wide = wide.unionByName(rest.crossJoin(F.broadcast(of_all.drop("_all"))))
-    return cut(out.unionByName(wide.withColumn("_wide", F.lit(True))))
-
-
-def judge(stats: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
+    key = lambda *cols: F.xxhash64(F.lit(len(cols)), *cols)
+    few = F.col("n") < min_group
+    counts = rows.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
+    langs = counts.groupBy("_lang").agg(F.sum("n").alias("n_lang"), F.max(few).alias("lang_needed")).withColumn("lang_needed", F.col("lang_needed") & (F.col("n_lang") >= min_group))
+    counts = cut(counts.join(langs, "_lang"))
+    alone = few & (F.col("n_lang") < min_group)
+    needed = bool(counts.where(alone).limit(1).count())
+    feeds = [F.when(~few, key("_lang", "_source")), F.when(F.col("lang_needed"), key("_lang"))] + ([key()] if needed else [])
+    group = F.when(~few, key("_lang", "_source")).when(~alone, key("_lang")).otherwise(key())
+    return counts.select("_lang", "_source", group.alias("_group"), F.filter(F.array(*feeds), lambda x: x.isNotNull()).alias("_feeds"), few.alias("_wide"))
+
+
+def judge(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """Adds base_failed, d2, d2_wide and kept to statistics rows.
 
     d2 is the distance from the estimate of the row's own group; where that is too small for one, d2 is
@@ -236,17 +231,22 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = _vector(stats).withColumns({"base_failed": failed, "_lang": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
-    group = ["_lang", "_source"]
-    fit = _estimates(rows.where(~F.col("base_failed")).select(*group, *DIMS), **mcd)
-    out = _distance(rows.join(_per_group(fit), group, "left"))
+    good = rows.where(~F.col("base_failed"))
+    groups = cut(_groups(good, min_group))
+    sent = F.broadcast if groups.count() <= BROADCAST_GROUPS else lambda df: df
+    groups = sent(groups)
+    vectors = written(good.join(groups, ["_lang", "_source"]).select(F.explode("_feeds").alias("_group"), *DIMS), "vectors")
+    fit = sent(mcd_fit(vectors))
+    drop_written(vectors)
+    out = _distance(rows.join(groups, ["_lang", "_source"], "left").join(fit, "_group", "left"))
     own, wide = F.when(~F.col("_wide"), F.round("d2", 6)), F.when(F.col("_wide"), F.round("d2", 6))
     return out.select(*stats.columns, "base_failed", own.alias("d2"), wide.alias("d2_wide"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
-def quality_scores(docs: DataFrame, cutoff: float = CUTOFF, **mcd) -> DataFrame:
+def quality_scores(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """One row per document: statistics, base_failed, distance and verdict."""
     stats = written(text_statistics(docs), "quality")
-    return judge(stats, cutoff, **mcd)
+    return judge(stats, cutoff, min_group)
 
 
 def quality_filter(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
