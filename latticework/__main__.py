@@ -110,11 +110,7 @@ def _run(args, cfg: Config) -> int:
         assets = images.features(decoded).persist()
         q = cfg.quality
         issues = rules.analyze(assets, q["characterPatterns"], q["nonDescriptivePatterns"], q["maxTransparentRatio"], q["duplicateHammingThreshold"])
-        nested = [r.asDict(True) for r in rules.report(assets, issues).collect()]
-        errors = [r.asDict() for r in decoded.where("status <> 'ok'").select("source", "stage", "message").collect()]
-        (out / "quality-report.json").write_text(exports.quality_json(nested, errors))
-        (out / "quality-report.html").write_text(exports.quality_html(nested, errors))
-        failed = len(errors)
+        failed = exports.write_quality(rules.report(assets, issues), decoded.where("status <> 'ok'").select("source", "stage", "message"), out)
     elif args.command == "suggest":
         from .plans import provider
 

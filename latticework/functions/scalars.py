@@ -134,6 +134,17 @@ def fnv1a32(text: Column) -> Column:
     return fnv1a32_codes(F.when(F.length(text) > 0, codes).otherwise(F.array().cast("array<string>")))
 
 
+def mulberry32(seed: Column) -> Column:
+    """The first number in [0, 1) of the public mulberry32 generator for a seed of 32 bits."""
+    low = lambda c: c.bitwiseAND(F.lit(_MASK32))
+    # the low half of a product of two 32-bit numbers; one factor goes in halves of 16 bits, so nothing overflows
+    times = lambda a, b: low(low(a * F.shiftright(b, 16)) * F.lit(65536) + a * b.bitwiseAND(F.lit(65535)))
+    state = low(seed.cast("long") + F.lit(0x6D2B79F5))
+    t = times(state.bitwiseXOR(F.shiftright(state, 15)), state.bitwiseOR(F.lit(1)))
+    t = low(t.bitwiseXOR(low(t + times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61))))))
+    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

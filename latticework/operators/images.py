@@ -80,6 +80,23 @@ def process_one(source: str, rgba: np.ndarray, has_alpha: bool, cfg: Config, wit
     return {"sprites": sprites, "skipped": skipped, "pages": out}
 
 
+def from_cells(cells: DataFrame, width: int, height: int) -> DataFrame:
+    """Images (the columns of `sources.images.decode`) from opaque cells (source, y, x, r, g, b), each cell once."""
+    from ..sources.images import IMAGE
+
+    schema = pa.schema([("source", pa.string()), ("status", pa.string()), ("stage", pa.string()), ("code", pa.string()), ("message", pa.string()), ("has_alpha", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()), ("byte_size", pa.int64()), ("data", pa.binary())])
+
+    def draw(table):
+        rgba = np.zeros((height, width, 4), np.uint8)
+        y, x, r, g, b = (table.column(c).to_numpy() for c in ("y", "x", "r", "g", "b"))
+        rgba[y, x] = np.stack([r, g, b, np.full(len(r), 255)], 1)
+        return pa.Table.from_pylist([{"source": table.column("source")[0].as_py(), "status": "ok", "has_alpha": True, "width": width, "height": height, "byte_size": rgba.nbytes, "data": rgba.tobytes()}], schema)
+
+    ship(cells.sparkSession)
+    rows = cells.selectExpr("source", *[f"cast({c} as int) {c}" for c in ("y", "x", "r", "g", "b")])
+    return rows.groupBy("source").applyInArrow(draw, IMAGE)
+
+
 def process(images: DataFrame, cfg: Config, with_pixels: bool = True) -> DataFrame:
     """One row an image: sprites, skipped and pages, or the stage, code and message of its failure."""
 

@@ -405,14 +405,14 @@ def hierarchy_check(spark, sf_dir):
 
 
 _ASSETS_SQL = """
-    a AS (SELECT p_brand || '_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.png' ELSE '' END AS name, p_brand AS grp, p_size AS width, p_size % 3 AS height, (p_partkey % 100) / 100 AS ratio,
+    a AS (SELECT CASE WHEN p_partkey % 10 = 3 THEN 'IMG' ELSE p_brand END AS grp, grp || '_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.png' ELSE '' END AS name, p_size AS width, p_size % 3 AS height, (p_partkey % 100) / 100 AS ratio,
                  xor(('0x' || substr(md5(p_brand || p_size), 1, 16))::UBIGINT, (p_partkey % 4)::UBIGINT) AS bits, p_size AS r, p_partkey % 7 * 5 AS g, CASE WHEN p_partkey % 5 = 0 THEN 0.5 WHEN p_partkey % 5 = 1 THEN 0.2 END AS px FROM part)"""
 
 
 def _assets(spark, sf_dir) -> DataFrame:
     """Parts read as assets: names, sizes, ratios, 64-bit words, colours and pivots."""
     p = F.col("p_partkey")
-    name = F.concat("p_brand", F.lit("_"), p.cast("string"), F.when(p % 2 == 0, ".png").otherwise(""))
+    name = F.concat(F.when(p % 10 == 3, "IMG").otherwise(F.col("p_brand")), F.lit("_"), p.cast("string"), F.when(p % 2 == 0, ".png").otherwise(""))
     word = F.conv(F.substring(F.md5(F.concat("p_brand", F.col("p_size").cast("string"))), 1, 16), 16, -10).cast("long").bitwiseXOR(p % 4)
     rows = table(spark, sf_dir, "part").select(name.alias("name"), F.col("p_size").alias("width"), (F.col("p_size") % 3).alias("height"), ((p % 100) / 100).alias("transparent_ratio"), word.alias("bits"), F.col("p_size").alias("r"), (p % 7 * 5).cast("int").alias("g"), F.lit(0).alias("b"), F.when(p % 5 == 0, 0.5).when(p % 5 == 1, 0.2).alias("pivot_x"), F.when((p % 5).isin(0, 1), 1.0).alias("pivot_y"), F.lit(None).cast("long").alias("byte_size"))
     return rows.withColumns({"hash": F.concat_ws("/", "bits", "r", "g"), "ord": F.col("name")})
@@ -423,7 +423,7 @@ _ISSUES_SQL = f"""
     m AS (SELECT grp, width AS mw, height AS mh FROM (SELECT grp, width, height, count(*) AS n FROM a GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, width, height) = 1),
     dup AS (SELECT y.name, min(x.name) AS first, arg_min(CASE WHEN x.bits = y.bits AND x.r = y.r AND x.g = y.g THEN -1 ELSE bit_count(xor(x.bits, y.bits)) END, x.name) AS d
             FROM a x JOIN a y ON x.name < y.name AND bit_count(xor(x.bits, y.bits)) <= 5 AND greatest(abs(x.r - y.r), abs(x.g - y.g)) <= 24 GROUP BY y.name),
-    i AS (SELECT name AS asset, 1 AS rule_ord, 'medium' AS severity FROM a WHERE ratio > 0.9
+    i AS (SELECT name AS asset, 0 AS rule_ord, 'low' AS severity FROM a WHERE grp = 'IMG' UNION ALL SELECT name, 1, 'medium' FROM a WHERE ratio > 0.9
           UNION ALL SELECT name, 2, 'high' FROM a JOIN m USING (grp) WHERE width <> mw OR height <> mh
           UNION ALL SELECT name, 3, CASE WHEN d = -1 THEN 'high' ELSE 'medium' END FROM dup
           UNION ALL SELECT name, 4, CASE WHEN px IS NULL THEN 'info' WHEN grp = 'Brand#11' THEN 'medium' ELSE 'info' END FROM a WHERE px = 0.2 OR (px IS NULL AND grp = 'Brand#11'))"""
@@ -526,6 +526,168 @@ def understanding(spark, sf_dir):
     return rows.select("c_custkey", "u.asset_type", "u.category", F.size("u.problems").alias("problems"))
 
 
+_PAYLOADS = (
+    '{"assetType": "monster", "category": "slime", "description": "d", "confidence": 0.5}', '```json\n{"assetType": "item"}\n```', '{"assetType": "thing", "confidence": 2}', "no JSON", '["item"]',
+    '{"assetType": "ui", "category": " ", "description": 4}', '{"assetType": "weapon", "confidence": "0.5"}', "```\n{}\n```",
+)
+
+
+@query("understanding_payloads", f"""
+    WITH t AS (SELECT p_partkey, [{", ".join("'" + x + "'" for x in _PAYLOADS)}][p_partkey % {len(_PAYLOADS)} + 1] AS raw FROM part),
+         f AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(raw, '^```(json)?', ''), '```$', ''), ' ' || chr(10)) AS j FROM t),
+         j AS (SELECT p_partkey, json_valid(j) AS ok, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM f),
+         v AS (SELECT p_partkey, ok, json_type(j) = 'OBJECT' AS is_object, j->>'$.assetType' AS kind, json_type(j, '$.category') AS ct, j->>'$.category' AS category, json_type(j, '$.description') AS dt, j->>'$.description' AS description, json_type(j, '$.confidence') AS pt, j->>'$.confidence' AS confidence FROM j)
+    SELECT p_partkey, CASE WHEN NOT ok OR NOT is_object THEN 1 ELSE
+             (CASE WHEN kind IN ('character', 'monster', 'item', 'weapon', 'environment', 'ui', 'unknown') THEN 0 ELSE 1 END) + (CASE WHEN ct IS NOT NULL AND (ct <> 'VARCHAR' OR trim(category) = '') THEN 1 ELSE 0 END)
+             + (CASE WHEN dt IS NOT NULL AND dt <> 'VARCHAR' THEN 1 ELSE 0 END) + (CASE WHEN pt IS NOT NULL AND (pt = 'VARCHAR' OR try_cast(confidence AS DOUBLE) NOT BETWEEN 0 AND 1) THEN 1 ELSE 0 END) END AS problems,
+           CASE WHEN is_object THEN kind END AS asset_type FROM v""")
+def understanding_payloads(spark, sf_dir):
+    raw = F.element_at(F.array(*[F.lit(x) for x in _PAYLOADS]), (F.col("p_partkey") % len(_PAYLOADS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", E.validate(raw).alias("u"))
+    return rows.select("p_partkey", F.size("u.problems").alias("problems"), "u.asset_type")
+
+
+@query("pivot_suggestions", f"WITH {_RESULTS_SQL} SELECT source, 0.5::DOUBLE AS x, 1.0::DOUBLE AS y FROM r WHERE asset_type IN ('character', 'monster')")
+def pivot_suggestions(spark, sf_dir):
+    return E.pivot_suggestions(_results(spark, sf_dir))
+
+
+@query("metadata_join", f"""
+    WITH {_RESULTS_SQL}, s AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(category), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'asset') AS c FROM r),
+         n AS (SELECT ord, base || '_' || format('{{:02d}}', row_number() OVER (PARTITION BY base ORDER BY ord)) || '.png' AS name FROM (SELECT *, CASE WHEN category = 'unknown' THEN asset_type ELSE asset_type || '_' || c END AS base FROM s WHERE asset_type <> 'unknown'))
+    SELECT source, asset_type || 's' AS folder, name, CASE WHEN asset_type = 'unknown' THEN '' WHEN lower(category) = 'slime' THEN 'idle,run,bite' WHEN asset_type IN ('character', 'monster') THEN 'idle,move' WHEN asset_type = 'item' THEN 'rotate,float' ELSE '' END AS moves
+    FROM r LEFT JOIN n USING (ord)""")
+def metadata_join(spark, sf_dir):
+    """Folder, name and moves of every result, by its number as source (part names repeat)."""
+    results = _results(spark, sf_dir).withColumn("confidence", F.lit(1.0))
+    named = results.withColumn("part", F.col("source")).withColumn("source", F.col("ord").cast("string"))
+    rows = E.metadata(named).join(E.classification(named).select("source", "suggested_folder"), "source")
+    return rows.select(F.col("part").alias("source"), F.col("suggested_folder").alias("folder"), F.col("suggested_name").alias("name"), F.array_join("moves", ",").alias("moves"))
+
+
+@query("file_names", r"""
+    WITH p AS (SELECT p_partkey, ' ' || p_type || '//' || p_name || CASE p_partkey % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '/' ELSE '' END AS path FROM part),
+         b AS (SELECT *, list_last(string_split(regexp_replace(path, '/+$', ''), '/')) AS base FROM p)
+    SELECT p_partkey, base, 'out/' || ltrim(path, '/') AS joined, coalesce(nullif(lower(regexp_replace(regexp_replace(base, '^(.+)[.][^.]*$', '\1'), '[^A-Za-z0-9_-]+', '_', 'g')), ''), 'asset') AS stem,
+           'mock/m-1/v2/' || md5(path) || '/' || replace(replace(replace(replace(replace(url_encode(base), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS key FROM b""")
+def file_names(spark, sf_dir):
+    p = F.col("p_partkey") % 4
+    tail = F.when(p == 0, ".PNG").when(p == 1, ".tar.gz").when(p == 2, "/").otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), "p_type", F.lit("//"), "p_name", tail).alias("path"))
+    base = S.basename(F.col("path"))
+    key = S.cache_key(F.lit("mock"), F.lit("m-1"), F.lit(2), F.md5("path"), base)
+    return rows.select("p_partkey", base.alias("base"), S.join_path(F.lit("out//"), F.col("path")).alias("joined"), S.file_base(base).alias("stem"), key.alias("key"))
+
+
+@query("size_labels", "SELECT doc_id, CASE WHEN n_chars - 100 > 0 THEN greatest(1, floor((n_chars - 100) / 1024 + 0.5)::BIGINT) END AS kb FROM documents")
+def size_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.kilobytes(F.col("n_chars") - 100).alias("kb"))
+
+
+@query("random_numbers", """
+    WITH s AS (SELECT event_id, (event_id * 2654435761 + 1831565813) % 4294967296 AS a FROM events),
+         t AS (SELECT event_id, a, (xor(a, a >> 15)::HUGEINT * (a | 1) % 4294967296)::BIGINT AS t FROM s),
+         u AS (SELECT event_id, xor(t, (t + (xor(t, t >> 7)::HUGEINT * (t | 61) % 4294967296)::BIGINT) % 4294967296) AS u FROM t)
+    SELECT event_id, xor(u, u >> 14) / 4294967296 AS value FROM u""")
+def random_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.mulberry32(F.col("event_id") * 2654435761 % 4294967296).alias("value"))
+
+
+@query("pivot_modes", """
+    SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 0.5 ELSE s_nationkey / 24 END AS x, CASE s_suppkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1 - s_nationkey / 24 END AS y FROM supplier""")
+def pivot_modes(spark, sf_dir):
+    mode = F.element_at(F.array(F.lit("center"), F.lit("bottom-center"), F.lit("manual")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    at = S.pivot_of(mode, F.col("s_nationkey") / 24, 1 - F.col("s_nationkey") / 24)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", at["x"].alias("x"), at["y"].alias("y"))
+
+
+@query("brush_stamps", """
+    WITH m AS (SELECT DISTINCT floor(l_extendedprice / 4000)::BIGINT AS y, floor(l_quantity / 2)::BIGINT AS x FROM lineitem), c AS (SELECT y, x FROM range(-9, 40) a(y), range(-9, 40) b(x)),
+         added AS (SELECT y, x FROM m UNION SELECT y, x FROM c WHERE (y - 3) ** 2 + (x - 24) ** 2 <= 49)
+    SELECT y, x FROM added EXCEPT SELECT y, x FROM c WHERE (y - 8) ** 2 + (x - 12) ** 2 <= 16""")
+def brush_stamps(spark, sf_dir):
+    cells = _mask(spark, sf_dir).select("y", "x").distinct()
+    return C.stamp(C.stamp(cells, 3, 24, 7), 8, 12, 4, erase=True)
+
+
+@query("mesh_vertices", """
+    WITH m AS (SELECT DISTINCT l_returnflag AS f, floor(l_extendedprice / 4000)::BIGINT AS y, floor(l_quantity / 2)::BIGINT AS x FROM lineitem),
+         g AS (SELECT f, y // 2 AS gy, x // 2 AS gx FROM m GROUP BY 1, 2, 3 HAVING count(*) = 4), v AS (SELECT DISTINCT f, (gy + a) * 2 AS y, (gx + b) * 2 AS x FROM g, range(2) p(a), range(2) q(b))
+    SELECT f, y, x, row_number() OVER (PARTITION BY f ORDER BY y || ':' || x) - 1 AS vertex FROM v""")
+def mesh_vertices(spark, sf_dir):
+    return C.mesh_vertices(grid_mesh(spark, sf_dir), 2)
+
+
+@query("png_headers", """
+    SELECT p_partkey::VARCHAR AS source, p_partkey % 5 <> 4 AS valid, CASE WHEN p_partkey % 5 <> 4 THEN p_size * 70000 END AS width, CASE WHEN p_partkey % 5 <> 4 THEN p_partkey END AS height,
+           CASE WHEN p_partkey % 5 <> 4 THEN 8 END AS bit_depth, CASE WHEN p_partkey % 5 <> 4 THEN p_size % 7 END AS color_type FROM part""")
+def png_headers(spark, sf_dir):
+    from ..sources import images as source
+
+    word = lambda c, n: F.lpad(F.hex(c), n, "0")
+    head = F.when(F.col("p_partkey") % 5 == 4, "89504E470D0A1A0B").otherwise("89504E470D0A1A0A")
+    hexed = F.concat(head, F.lit("0000000D49484452"), word((F.col("p_size") * 70000).cast("long"), 8), word(F.col("p_partkey"), 8), F.lit("08"), word((F.col("p_size") % 7).cast("long"), 2), F.lit("00" * 20))
+    rows = source.headers(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source"), F.unhex(hexed).alias("content")))
+    known = lambda c: F.when(F.col("valid"), F.col(c)).alias(c)
+    return rows.select("source", "valid", *[known(c) for c in ("width", "height", "bit_depth", "color_type")])
+
+
+# ---- images drawn from tables, with SQL: customers as pixels of their nation's 16 x 16 image
+
+_PIXELS_SQL = """
+    px AS (SELECT n_name AS source, (c_custkey // 25 % 256) // 16 AS y, (c_custkey // 25 % 256) % 16 AS x, max(c_custkey % 251) AS r, max(c_custkey % 17 * 15) AS g, max(c_custkey % 7 * 36) AS b
+           FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY ALL)"""
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    """Customers in credit are the opaque pixels."""
+    key = F.col("c_custkey")
+    place = F.floor(key / 25) % 256
+    rows = table(spark, sf_dir, "customer").where("c_acctbal > 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("n_name").alias("source"), F.floor(place / 16).alias("y"), (place % 16).alias("x"), (key % 251).alias("r"), (key % 17 * 15).alias("g"), (key % 7 * 36).alias("b"))
+    return rows.groupBy("source", "y", "x").agg(*[F.max(c).alias(c) for c in "rgb"])
+
+
+@query("image_features", f"""
+    WITH {_PIXELS_SQL}, grid AS (SELECT source, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, CASE WHEN r IS NULL THEN 0 ELSE 255 END AS a
+             FROM (SELECT DISTINCT source FROM px) CROSS JOIN range(16) p(y) CROSS JOIN range(16) q(x) LEFT JOIN px USING (source, y, x)),
+         bytes AS (SELECT source, [0, 0, 0, 16, 0, 0, 0, 16] || flatten(list([r, g, b, a] ORDER BY y, x)) AS d FROM grid GROUP BY source),
+         h AS (SELECT source, list_reduce(list_prepend(2166136261::BIGINT, d::BIGINT[]), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS h1, list_reduce(list_prepend(2538058380::BIGINT, d::BIGINT[]), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS h2 FROM bytes),
+         light AS (SELECT source, j, i, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM grid, range(8) p(j), range(9) q(i) WHERE y = j * 16 // 8 AND x = i * 16 // 9),
+         bits AS (SELECT source, string_agg(CASE WHEN v > nxt THEN '1' ELSE '0' END, '' ORDER BY j, i) AS bits FROM (SELECT *, lead(v) OVER (PARTITION BY source, j ORDER BY i) AS nxt FROM light) WHERE nxt IS NOT NULL GROUP BY source)
+    SELECT source, format('{{:08x}}{{:08x}}', h1, h2) AS hash, bits, round(avg(CASE WHEN a = 0 THEN 1 ELSE 0 END), 9) AS ratio, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM grid JOIN h USING (source) JOIN bits USING (source) GROUP BY ALL""")
+def image_features(spark, sf_dir):
+    f = I.features(I.from_cells(_pixels(spark, sf_dir), 16, 16))
+    return f.select(F.col("name").alias("source"), "hash", F.lpad(F.bin("bits"), 64, "0").alias("bits"), F.round("transparent_ratio", 9).alias("ratio"), *[F.round(c, 9).alias(c) for c in "rgb"])
+
+
+_TRIM = {"enabled": True, "alphaThreshold": 1}
+_CUTS = {
+    "manual": {"mode": "manual", "rects": [{"x": n % 4 * 4, "y": n // 4 * 4, "width": 4, "height": 4} | ({"id": "first"} if n == 0 else {}) for n in range(16)]},
+    "grid": {"mode": "grid", "rows": 4, "columns": 4, "alphaThreshold": 1},
+}
+
+
+@query("image_sprites", f"""
+    WITH {_PIXELS_SQL}, cell AS (SELECT source, row * 4 + col AS n, row * 4 AS y0, col * 4 AS x0 FROM (SELECT DISTINCT source FROM px), range(4) p(row), range(4) q(col)),
+         box AS (SELECT cell.source, n, y0, x0, min(y) AS t, max(y) AS b, min(x) AS l, max(x) AS r FROM cell LEFT JOIN px ON px.source = cell.source AND y BETWEEN y0 AND y0 + 3 AND x BETWEEN x0 AND x0 + 3 GROUP BY ALL),
+         all_ AS (SELECT 'manual' AS mode, *, n AS k FROM box UNION ALL SELECT 'grid', *, row_number() OVER (PARTITION BY source ORDER BY n) - 1 FROM box WHERE t IS NOT NULL)
+    SELECT mode, source || CASE WHEN mode = 'manual' AND k = 0 THEN '#first' ELSE '#sprite-' || format('{{:04d}}', k) END AS id, x0::BIGINT AS source_x, y0::BIGINT AS source_y, l AS x, t AS y, r - l + 1 AS width, b - t + 1 AS height, CASE WHEN t IS NULL THEN 'fully-transparent' END AS skipped FROM all_""")
+def image_sprites(spark, sf_dir):
+    """Cells of the images, given as rects (empty ones are skipped) or as a grid (empty ones don't count), trimmed."""
+    images = I.from_cells(_pixels(spark, sf_dir), 16, 16)
+    long = lambda r, c: F.col(f"s.{r}.{c}").cast("long")
+    none = [F.lit(None).cast("long").alias(c) for c in ("x", "y", "width", "height")]
+    out = None
+    for mode, detect in _CUTS.items():
+        done = I.process(images, Config.parse({"schemaVersion": 2, "detect": detect, "trim": _TRIM}), with_pixels=False)
+        first = (F.lit(mode).alias("mode"), F.col("s.id"), long("source_rect", "x").alias("source_x"), long("source_rect", "y").alias("source_y"))
+        found = done.select(F.explode("sprites").alias("s")).select(*first, *[long("trimmed_rect", c).alias(c) for c in ("x", "y", "width", "height")], F.lit(None).cast("string").alias("skipped"))
+        found = found.unionByName(done.select(F.explode("skipped").alias("s")).select(*first, *none, F.col("s.reason").alias("skipped")))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ---- kernels on images drawn from tables (no SQL form; tests compare them with brute force)
 
 

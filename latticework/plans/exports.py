@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import json
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from pathlib import Path
+from textwrap import indent
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,33 +171,64 @@ def cutout_files(name: str, layers: list[dict], bones: list[dict]) -> dict[str,
     return {"cutout.tscn": cutout_scene(layers, bones), "cutout_preview.gd": _SWAY, "project.godot": settings}
 
 
-def quality_json(nested: Iterable[dict], errors: Iterable[dict] = ()) -> str:
-    """Version 2 report: severity totals, warnings by asset in name order, errors."""
-    rows = sorted(nested, key=lambda r: r["asset"])
-    counts = {s: sum(w["severity"] == s for r in rows for w in r["warnings"]) for s in ("high", "medium", "low", "info")}
-    issues = [{"asset": r["asset"], "warnings": [{k: w[k] for k in ("rule", "severity", "message", "suggestion")} for w in r["warnings"]]} for r in rows]
-    return pretty({"version": 2, "summary": {"assets": len(rows), "warnings": sum(counts.values()), **counts}, "issues": issues, "errors": list(errors)})
+def _listed(name: str, items: Iterable[dict]) -> Iterator[str]:
+    """A JSON member with a list, as `pretty` would write it, item by item."""
+    sep = ""
+    yield f'  "{name}": ['
+    for item in items:
+        yield sep + "\n" + indent(json.dumps(item, indent=2, ensure_ascii=False), "    ")
+        sep = ","
+    yield "\n  ]" if sep else "]"
 
 
-def quality_html(nested: Iterable[dict], errors: Iterable[dict] = ()) -> str:
-    """A page without outside references; clean assets are shown as good."""
+def quality_json(nested: Iterable[dict], errors: Iterable[dict] = (), totals: dict | None = None) -> Iterator[str]:
+    """Version 2 report in parts: severity totals, warnings by asset, errors.
+
+    nested (asset, warnings) must be in the order of asset; with `totals` it is read once, row by row.
+    """
+    if totals is None:
+        nested = list(nested)
+        counts = {s: sum(w["severity"] == s for r in nested for w in r["warnings"]) for s in ("high", "medium", "low", "info")}
+        totals = {"assets": len(nested), "warnings": sum(counts.values()), **counts}
+    yield json.dumps({"version": 2, "summary": totals}, indent=2)[:-2] + ",\n"
+    yield from _listed("issues", ({"asset": r["asset"], "warnings": [{k: w[k] for k in ("rule", "severity", "message", "suggestion")} for w in r["warnings"]]} for r in nested))
+    yield ",\n"
+    yield from _listed("errors", errors)
+    yield "\n}\n"
+
+
+def quality_html(nested: Iterable[dict], errors: Iterable[dict] = ()) -> Iterator[str]:
+    """A page without outside references, in parts; clean assets are shown as good."""
     e = lambda s: html.escape(str(s), quote=True).replace("&#x27;", "&#39;")
-    rows = []
-    for r in sorted(nested, key=lambda r: r["asset"]):
+    yield "<!doctype html><html><head><meta charset=\"utf-8\"><title>Quality report</title></head><body><h1>Quality report</h1><table><tr><th>Asset</th><th>Severity</th><th>Issue</th><th>Suggestion</th></tr>"
+    for r in nested:
         if not r["warnings"]:
-            rows.append(f'<tr><td>{e(r["asset"])}</td><td colspan="3" class="good">Good</td></tr>')
-        rows += [f'<tr><td>{e(r["asset"])}</td><td class="{e(w["severity"])}">{e(w["severity"])}</td><td>{e(w["message"])}</td><td>{e(w["suggestion"])}</td></tr>' for w in r["warnings"]]
-    errors = list(errors)
-    tail = "<h2>Errors</h2><ul>" + "".join(f"<li>{e(x['source'])}: {e(x['message'])}</li>" for x in errors) + "</ul>" if errors else ""
-    return f"<!doctype html><html><head><meta charset=\"utf-8\"><title>Quality report</title></head><body><h1>Quality report</h1><table><tr><th>Asset</th><th>Severity</th><th>Issue</th><th>Suggestion</th></tr>{''.join(rows)}</table>{tail}</body></html>\n"
+            yield f'<tr><td>{e(r["asset"])}</td><td colspan="3" class="good">Good</td></tr>'
+        for w in r["warnings"]:
+            yield f'<tr><td>{e(r["asset"])}</td><td class="{e(w["severity"])}">{e(w["severity"])}</td><td>{e(w["message"])}</td><td>{e(w["suggestion"])}</td></tr>'
+    yield "</table>"
+    close = ""
+    for x in errors:
+        yield ("" if close else "<h2>Errors</h2><ul>") + f"<li>{e(x['source'])}: {e(x['message'])}</li>"
+        close = "</ul>"
+    yield close + "</body></html>\n"
 
 
-def html_rows(issues: DataFrame) -> DataFrame:
-    """The table rows of the page, made in the cluster: asset, html."""
-    from ..functions.scalars import html_escape
+def write_quality(report: DataFrame, failed: DataFrame, folder: Path) -> int:
+    """Both reports of (asset, warnings) and failed sources, written row by row; returns the number of failures.
 
-    cell = lambda c: F.concat(F.lit("<td>"), html_escape(F.col(c)), F.lit("</td>"))
-    return issues.select("asset", F.concat(F.lit("<tr>"), *[cell(c) for c in ("asset", "severity", "message", "suggestion")], F.lit("</tr>")).alias("html"))
+    Only totals are gathered: the rows come partition by partition, in the order of asset.
+    """
+    levels = ("high", "medium", "low", "info")
+    one = lambda s: F.sum(F.size(F.filter("warnings", lambda w: w["severity"] == s)))
+    r = report.agg(F.count(F.lit(1)).alias("assets"), F.sum(F.size("warnings")).alias("warnings"), *[one(s).alias(s) for s in levels]).first()
+    rows = lambda: (x.asDict(True) for x in report.orderBy("asset").toLocalIterator())
+    errors = lambda: (x.asDict() for x in failed.orderBy("source").toLocalIterator())
+    with (folder / "quality-report.json").open("w", encoding="utf-8") as f:
+        f.writelines(quality_json(rows(), errors(), {k: v or 0 for k, v in r.asDict().items()}))
+    with (folder / "quality-report.html").open("w", encoding="utf-8") as f:
+        f.writelines(quality_html(rows(), errors()))
+    return failed.count()
 
 
 def summary(processed: DataFrame) -> dict:
@@ -225,8 +258,6 @@ def write_files(processed: DataFrame, folder: str, generator: str, version: str,
     base, wanted = folder.rstrip("/"), output or Config.default().output
 
     def save(part):
-        from pathlib import Path
-
         for r in part:
             stem = r["source"].rsplit(".", 1)[0]
             out, doc = Path(base) / stem, json.loads(r["manifest"])

@@ -54,9 +54,15 @@ def test_quality_golden(spark):
     text = {(r["asset"], w["rule"]): w["message"] for r in nested for w in r["warnings"]}
     assert text["faint.png", "transparent_area"] == "Unused canvas: 84% of the pixels are fully transparent"
     assert "saving: ~1 KB" in text["hero_idle_01_copy.png", "duplicate_frames"] and "expected 32x32" in text["walk_03.png", "size_mismatch"]
-    doc = json.loads(exports.quality_json(nested))
+    nested = sorted(nested, key=lambda r: r["asset"])
+    text = "".join(exports.quality_json(nested, [{"source": "x", "message": "<é>"}]))
+    doc = json.loads(text)
+    assert text == exports.pretty(doc) and doc["errors"] == [{"source": "x", "message": "<é>"}]
+    empty = "".join(exports.quality_json([]))
+    assert empty == exports.pretty(json.loads(empty)) and json.loads(empty)["issues"] == []
     assert doc["version"] == 2 and doc["summary"]["assets"] == 8 and doc["summary"]["warnings"] == 9
-    assert 'class="good">Good' in exports.quality_html(nested)
+    page = "".join(exports.quality_html(nested, [{"source": "x", "message": "<b>"}, {"source": "y", "message": ""}]))
+    assert 'class="good">Good' in page and page.endswith("<h2>Errors</h2><ul><li>x: &lt;b&gt;</li><li>y: </li></ul></body></html>\n")
 
 
 def test_bands_miss_nothing(spark):
