@@ -5,8 +5,9 @@ merges HyperLogLog sketches of the sites; lines whose estimate is near the thres
 sketch can be wrong by, get exact distinct counts. Lines on `min_sites` sites or more are boilerplate:
 all their occurrences go but the first (least doc_id, then position), so no text is lost outright.
 
-All shuffles carry hashes, sketches and positions; texts move once, and only to documents that lose
-lines. Frequent lines are combined before each shuffle.
+Texts are split once, into hashes and positions that are written; all shuffles carry these and sketches,
+and frequent lines are combined before each. What documents lose goes to where they lie, if it is small by
+count; else texts move once.
 
 Edge cases. A line is compared trimmed of spaces; blank lines are never removed. Null text: no lines,
 text stays null. Null source: one site of its own. Rows are judged one by one, also those that share a
@@ -19,15 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash128
+from .common import cut, drop_written, hash128, written
 
 MIN_SITES = 10
 #: 2^10 registers: relative standard error 1.04 / 32 = 3.3 %.
 LG_K = 10
 #: The band around the threshold that gets exact counts: eight standard errors.
 BAND = 0.26
-#: Boilerplate lines (16 bytes of hash and a position each) that may go to all executors.
+#: Boilerplate lines (16 bytes of hash and a position each), or documents that lose lines, that may go to all executors.
 BROADCAST_LINES = 200_000
+#: Positions of lines to remove (4 bytes each) that may go to all executors, with up to as many documents.
+BROADCAST_PLACES = 2_000_000
 _DROP = "__latticework_drop"
 
 
@@ -43,9 +46,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "body", "site", "pos", *hash128(F.col("line")))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2, first_doc, first_pos of every line on `min_sites` sites or more."""
-    rows = _occurrences(docs)
+def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """h1, h2, first_doc, first_pos of every line on `min_sites` sites or more, from occurrences."""
     # a line on n sites stands n times at least: rarer ones need no sketch after this
     spread = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
     known = spread.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
@@ -64,10 +66,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _marked(docs: DataFrame, min_sites: int) -> DataFrame:
     """docs with `_DROP`, the positions of the lines to remove (null: none)."""
-    found = boilerplate(docs, min_sites)
-    hits = _occurrences(docs).join(_small(found), ["h1", "h2"])
+    rows = written(_occurrences(docs), "lines")  # texts are split once; later passes read hashes
+    hits = rows.join(_small(boilerplate(rows, min_sites)), ["h1", "h2"])
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    gone = hits.where(~first).groupBy(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).agg(F.collect_set("pos").alias(_DROP))
+    gone = cut(hits.where(~first).groupBy(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).agg(F.collect_set("pos").alias(_DROP)))
+    drop_written(rows)
+    n, places = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(_DROP)), F.lit(0))).first()
+    if n <= BROADCAST_LINES and places <= BROADCAST_PLACES:
+        gone = F.broadcast(gone)
     own = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_body"])
     return docs.join(gone, own, "left").select(*[docs[c] for c in docs.columns], gone[_DROP])
 
