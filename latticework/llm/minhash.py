@@ -401,6 +401,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents without near copies of a document with a lesser doc_id; all columns stay."""
+    """The documents without near copies of a document with a lesser doc_id; all columns stay.
+
+    Ids of copies go to where documents lie, if they are few by count; else texts move once.
+    """
     gone = cut(near_classes(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
