@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, line_dedup, minhash, packing, quality, rollup, substring, toxicity, url_filter
 from .common import cut, drop_written, table, written
+from .quality_sql import quality_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +121,31 @@ FROM c GROUP BY conv_id
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM t, unnest(range(1, greatest(len(w) - 3, 2))) u(i) WHERE len(w) > 0),
+     n AS (SELECT doc_id, count(*) AS n, sum(h) AS fingerprint, min(h) AS least FROM s GROUP BY doc_id),
+     c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, fingerprint, least) AS rep FROM n),
+     r AS (SELECT c.doc_id, c.n, s.h FROM c JOIN s USING (doc_id) WHERE c.doc_id = rep),
+     p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM r x JOIN r y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+     e AS (SELECT a, b FROM p UNION SELECT rep, doc_id FROM c WHERE rep <> doc_id), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+     l(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION
+         SELECT u.b, min(l.component) FROM l JOIN u ON u.a = l.node JOIN recurring.l AS k ON k.node = u.b WHERE l.component < k.component GROUP BY u.b)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component, t.doc_id) AS component_id, coalesce(l.component, t.doc_id) = t.doc_id AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN l ON l.node = t.doc_id
+"""
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - 48, 1))) u(i)),
+     least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+     gone AS (SELECT DISTINCT r, i + k AS pos FROM win JOIN least USING (h), range(50) o(k) WHERE doc_id > m),
+     word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+     kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_cross_site_lines": op1_cross_site_lines,
@@ -136,4 +162,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cross_site_lines": OP1_SQL, "op3_chat_format": OP3_SQL, "op5_bloom_cascade_urls": _op5_sql()}
+    return {
+        "op1_cross_site_lines": OP1_SQL,
+        "op2_minhash_near_dedup": OP2_SQL,
+        "op3_chat_format": OP3_SQL,
+        "op5_bloom_cascade_urls": _op5_sql(),
+        "op7_suffix_tree_passages": OP7_SQL,
+        "op8_quality_outliers": quality_sql(),
+    }
