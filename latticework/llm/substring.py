@@ -12,11 +12,13 @@ is built from sorted suffixes and the common prefixes of neighbours. Its interna
 or more are the repeats: every suffix takes the deepest one above it that also holds a lesser document,
 and that node's words are a span to remove.
 
-The shared words vary in length: groups above `GROUP` anchors, which would not fit a task, are split by
-the full depth. There a prefix is a deep node itself, and its least document comes from a min-aggregate
-that is combined before the shuffle; windows go in blocks of up to `BLOCK` at fixed places about the
-anchor, so a passage that very many documents share moves as a few blocks a document, and only the first
-document of each block looks its windows up one by one.
+The shared words are lengthened until a group fits a task. Groups above `GROUP` anchors are split by the
+`_CORE` words that all windows of a block hold, a block being up to `BLOCK` windows at fixed places about
+the anchor; cores of one document end here. Groups of cores that are still too large are split by the full
+depth: there the shared words are a deep node themselves, and its least document comes from a
+min-aggregate that is combined before the shuffle. Windows go as whole blocks first, so a passage that
+very many documents share moves as a few blocks a document, and only the first document of each block
+looks its windows up one by one.
 
 Equal word sequences are collapsed first: of a group of copies only the least document enters the
 trees, as it holds the least doc_id of each of their windows; the others are repeats as a whole.
@@ -49,6 +51,8 @@ BROADCAST_IDS = 200_000
 #: Up to this many anchors (9 bytes) go to all executors.
 BROADCAST_ANCHORS = 400_000
 _SPAN = WINDOW - GRAM + 1
+#: Words that all windows of a block hold.
+_CORE = WINDOW - BLOCK + 1
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -137,12 +141,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "doc_id", "c1", "c2", "lo", "words"])
 
 
-_BLOCKS = "b1 long, b2 long, doc_id long, c1 long, c2 long, at int, w1 array<long>, w2 array<long>"
+_BLOCKS = "core long, b1 long, b2 long, doc_id long, c1 long, c2 long, at int, w1 array<long>, w2 array<long>"
 
 
 def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, c1, c2, anchor, lo, hi, mid) to blocks of windows: hash of the block, document,
-    first window, and hashes of its windows. Blocks end at multiples of `BLOCK` before the anchor."""
+    """Rows (doc_id, text, c1, c2, anchor, lo, hi, mid) to blocks of windows: hash of the core, hash of the
+    block, document, first window, and hashes of its windows. Blocks end at multiples of `BLOCK` before the
+    anchor; the core of a place is the `_CORE` words that all windows there hold, whichever a run has."""
     for batch in batches:
         for a, b, buf, offsets in T.chunks(batch.column(1)):
             words = T.Words(buf, offsets)
@@ -164,10 +169,14 @@ def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(ends).astype(np.uint64)
             # first and last window span the block's words
             names = [T.mix(w[first] * T._STEP[50] + w[ends[1:] - 1] * T._STEP[51] + size).view(np.int64) for w in both] if len(at) else [np.zeros(0, np.int64)] * 2  # noqa: SLF001
+            core = np.zeros(0, np.int64)
+            if len(at):
+                of_block = run[first]
+                core = T.window_hashes(hashes, _CORE, 22)[words.ptr[:-1][row[of_block]] + mid[of_block] - BLOCK * place[first]].view(np.int64)
             owner = pa.array(row[run[first]] + a if len(at) else np.zeros(0, np.int64))
             keys = [batch.column(k).take(owner) for k in (0, 2, 3)]
             arrays = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(w.view(np.int64))) for w in both]
-            yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), *keys, pa.array(at[first].astype(np.int32)), *arrays], names=["b1", "b2", "doc_id", "c1", "c2", "at", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(names[0]), pa.array(names[1]), *keys, pa.array(at[first].astype(np.int32)), *arrays], names=["core", "b1", "b2", "doc_id", "c1", "c2", "at", "w1", "w2"])
 
 
 def _hot_repeats(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -306,15 +315,21 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id")
 
 
-def _of_shared_anchors(heads: DataFrame, shared: DataFrame) -> DataFrame:
-    """heads with `big`, of shared anchors only. Anchors of large groups are looked up where the rows lie."""
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """(key, big) of keys that stand in two documents or more; big: too many rows for a task."""
+    found = rows.groupBy(key).agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    return cut(found.select(key, (F.col("n") > GROUP).alias("big")))
+
+
+def _of_shared(rows: DataFrame, shared: DataFrame, key: str) -> DataFrame:
+    """rows with `big`, of shared keys only. Keys of large groups are looked up where the rows lie."""
     if shared.count() <= BROADCAST_ANCHORS:
-        return heads.join(F.broadcast(shared), "anchor")
+        return rows.join(F.broadcast(shared), key)
     big = shared.where("big")
     if big.count() > BROADCAST_ANCHORS:
-        return heads.join(shared, "anchor")
-    rest = heads.join(F.broadcast(big.select("anchor")), "anchor", "left_anti")
-    return heads.join(F.broadcast(big), "anchor").unionByName(rest.join(shared.where("NOT big"), "anchor"))
+        return rows.join(shared, key)
+    rest = rows.join(F.broadcast(big.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(big), key).unionByName(rest.join(shared.where("NOT big"), key))
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -329,22 +344,26 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = least.where("doc_id > rep").select("doc_id", "c1", "c2", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
     heads = least.where("doc_id = rep").select("doc_id", "c1", "c2", F.explode(F.arrays_zip("anchor", "lo", "hi", "mid")).alias("x")).select("doc_id", "c1", "c2", "x.*").distinct()
     heads = written(heads, "anchors")
-    shared = heads.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-    shared = cut(shared.select("anchor", (F.col("n") > GROUP).alias("big")))
-    kept = _of_shared_anchors(heads, shared)
-    found = cut(kept.groupBy("doc_id", "c1", "c2", "big").agg(F.collect_list(F.struct("anchor", "lo", "hi", "mid")).alias("x")))
+    runs = F.collect_list(F.struct("anchor", "lo", "hi", "mid")).alias("x")
+    found = cut(_of_shared(heads, _shared(heads, "anchor"), "anchor").groupBy("doc_id", "c1", "c2", "big").agg(runs))
+
+    def with_text(found: DataFrame) -> DataFrame:
+        return _texts_of(docs, found).select("doc_id", "text", "c1", "c2", F.col("x.anchor").alias("anchor"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("x.mid").alias("mid"))
 
-    def with_text(big: bool) -> DataFrame:
-        return _texts_of(docs, found.where(F.col("big") == big)).select("doc_id", "text", "c1", "c2", F.col("x.anchor").alias("anchor"), F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), F.col("x.mid").alias("mid"))
+    def contexts(found: DataFrame) -> DataFrame:
+        return map_arrow(with_text(found), _contexts, "anchor long, doc_id long, c1 long, c2 long, lo int, words binary")
 
-    contexts = map_arrow(with_text(False), _contexts, "anchor long, doc_id long, c1 long, c2 long, lo int, words binary")
-    repeats = map_arrow(contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo"), _subtrees, _REPEATS)
-    used = [heads]
+    groups, used, repeats = contexts(found.where("NOT big")), [heads], None
     if found.where("big").limit(1).count():
-        blocks = written(map_arrow(with_text(True), _full_depth, _BLOCKS), "blocks")
-        hot, windows = _hot_repeats(blocks)
-        repeats = repeats.unionByName(hot)
+        # longer prefixes: the core of each block, and the full depth where that is too frequent as well
+        blocks = written(map_arrow(with_text(found.where("big")), _full_depth, _BLOCKS), "blocks")
+        cored = _of_shared(blocks, _shared(blocks, "core"), "core")
+        few = cored.where("NOT big").select("doc_id", "c1", "c2", F.col("core").alias("anchor"), F.col("at").alias("lo"), (F.col("at") + F.size("w1") - 1).alias("hi"), F.col("at").alias("mid"))
+        groups = groups.unionByName(contexts(cut(few.groupBy("doc_id", "c1", "c2").agg(runs))))
+        repeats, windows = _hot_repeats(cored.where("big").drop("core", "big"))
         used += [blocks, windows]
+    trees = map_arrow(groups.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo"), _subtrees, _REPEATS)
+    repeats = trees if repeats is None else trees.unionByName(repeats)
     spans = cut(repeats.groupBy("doc_id", "c1", "c2").agg(F.collect_set(F.struct("begin", "stop")).alias("spans")))
     for folder in used:
         drop_written(folder)
