@@ -121,8 +121,9 @@ def _run(args, cfg: Config) -> int:
             return 2
         place = (out / "answers").resolve() if args.cache else Path(tempfile.mkdtemp(prefix="latticework-"))
         results = provider.understand(images.features(decoded), provider.AnswerCache(spark, str(place)), settings).persist()
-        for name, text in provider.sidecars(results, settings).items():
-            (out / name).write_text(text)
+        for name, parts in provider.sidecars(results, settings).items():
+            with (out / name).open("w", encoding="utf-8") as f:
+                f.writelines(parts)
     else:
         from .plans import project
 

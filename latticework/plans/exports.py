@@ -171,14 +171,19 @@ def cutout_files(name: str, layers: list[dict], bones: list[dict]) -> dict[str,
     return {"cutout.tscn": cutout_scene(layers, bones), "cutout_preview.gd": _SWAY, "project.godot": settings}
 
 
-def _listed(name: str, items: Iterable[dict]) -> Iterator[str]:
+def opened(doc: dict) -> str:
+    """A JSON object as `pretty` writes it, open for more members."""
+    return json.dumps(doc, indent=2, ensure_ascii=False)[:-2] + ",\n"
+
+
+def listed(name: str, items: Iterable[dict], depth: int = 1) -> Iterator[str]:
     """A JSON member with a list, as `pretty` would write it, item by item."""
-    sep = ""
-    yield f'  "{name}": ['
+    sep, tab = "", "  " * depth
+    yield f'{tab}"{name}": ['
     for item in items:
-        yield sep + "\n" + indent(json.dumps(item, indent=2, ensure_ascii=False), "    ")
+        yield sep + "\n" + indent(json.dumps(item, indent=2, ensure_ascii=False), tab + "  ")
         sep = ","
-    yield "\n  ]" if sep else "]"
+    yield f"\n{tab}]" if sep else "]"
 
 
 def quality_json(nested: Iterable[dict], errors: Iterable[dict] = (), totals: dict | None = None) -> Iterator[str]:
@@ -190,10 +195,10 @@ def quality_json(nested: Iterable[dict], errors: Iterable[dict] = (), totals: di
         nested = list(nested)
         counts = {s: sum(w["severity"] == s for r in nested for w in r["warnings"]) for s in ("high", "medium", "low", "info")}
         totals = {"assets": len(nested), "warnings": sum(counts.values()), **counts}
-    yield json.dumps({"version": 2, "summary": totals}, indent=2)[:-2] + ",\n"
-    yield from _listed("issues", ({"asset": r["asset"], "warnings": [{k: w[k] for k in ("rule", "severity", "message", "suggestion")} for w in r["warnings"]]} for r in nested))
+    yield opened({"version": 2, "summary": totals})
+    yield from listed("issues", ({"asset": r["asset"], "warnings": [{k: w[k] for k in ("rule", "severity", "message", "suggestion")} for w in r["warnings"]]} for r in nested))
     yield ",\n"
-    yield from _listed("errors", errors)
+    yield from listed("errors", errors)
     yield "\n}\n"
 
 

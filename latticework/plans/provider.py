@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import enrich
 from ..session import ship
+from . import exports
 
 # Provider names, defaults and environment overrides.
 PROVIDERS = ("mock", "openai", "local")
@@ -212,19 +213,37 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("key string, name string, value string, error string").parquet(folder)
 
 
-def sidecars(results: DataFrame, settings: Settings, collect: Callable[[DataFrame], list[dict]] | None = None) -> dict[str, str]:
-    """The three documents about a run: report, classification and metadata, as JSON texts by file name."""
-    collect = collect or (lambda d: [r.asDict(True) for r in d.orderBy("source").collect()])
+def sidecars(results: DataFrame, settings: Settings) -> dict[str, Iterator[str]]:
+    """The three documents about a run by file name: report, classification and metadata, as JSON in parts.
+
+    Only totals are gathered; rows come partition by partition, by source.
+    """
     good, bad = results.where(F.size("problems") == 0), results.where(F.size("problems") > 0)
-    rows, meta = collect(good), collect(enrich.metadata(good))
-    dump = lambda d: json.dumps(d, indent=2, ensure_ascii=False) + "\n"
-    errors = [{"source": r["source"], "error": "; ".join(r["problems"])} for r in collect(bad)]
-    hits = sum(r["hit"] for r in rows)
-    pick = lambda r, *keys: {k: r[c] for k, c in keys}
-    result = [pick(r, ("source", "source"), ("assetType", "asset_type"), ("category", "category"), ("description", "description"), ("confidence", "confidence")) for r in rows]
-    suggestions = {"naming": [{"source": m["source"], "suggestedName": m["suggested_name"]} for m in meta if m["suggested_name"]], "pivot": [{"source": r["source"], "pivot": {"x": 0.5, "y": 1.0}} for r in rows if r["asset_type"] in enrich.FOOTED], "animation": [{"source": m["source"], "recommended": m["moves"]} for m in meta if m["moves"]]}
+    meta = enrich.metadata(good)
+    rows = lambda df, make: (make(r) for r in df.orderBy("source").toLocalIterator())
+    assets, hits = good.agg(F.count(F.lit(1)), F.count_if("hit")).first()
+
+    def report() -> Iterator[str]:
+        summary = {"assets": assets, "errors": bad.count(), "cacheHits": hits, "cacheMisses": assets - hits}
+        yield exports.opened({"version": 1, "provider": settings.provider, "promptVersion": settings.prompt_version, "summary": summary})
+        yield from exports.listed("results", rows(good, lambda r: {"source": r.source, "assetType": r.asset_type, "category": r.category, "description": r.description, "confidence": r.confidence}))
+        yield ',\n  "suggestions": {\n'
+        yield from exports.listed("naming", rows(meta.where("suggested_name IS NOT NULL"), lambda r: {"source": r.source, "suggestedName": r.suggested_name}), 2)
+        yield ",\n"
+        yield from exports.listed("pivot", rows(enrich.pivot_suggestions(good), lambda r: {"source": r.source, "pivot": {"x": r.x, "y": r.y}}), 2)
+        yield ",\n"
+        yield from exports.listed("animation", rows(meta.where(F.size("moves") > 0), lambda r: {"source": r.source, "recommended": r.moves}), 2)
+        yield "\n  },\n"
+        yield from exports.listed("errors", rows(bad, lambda r: {"source": r.source, "error": "; ".join(r.problems)}))
+        yield "\n}\n"
+
+    def one_list(name: str, df: DataFrame, make) -> Iterator[str]:
+        yield exports.opened({"version": 1})
+        yield from exports.listed(name, rows(df, make))
+        yield "\n}\n"
+
     return {
-        "ai_report.json": dump({"version": 1, "provider": settings.provider, "promptVersion": settings.prompt_version, "summary": {"assets": len(rows), "errors": len(errors), "cacheHits": hits, "cacheMisses": len(rows) - hits}, "results": result, "suggestions": suggestions, "errors": errors}),
-        "classification.json": dump({"version": 1, "items": [{"source": r["source"], "suggestedFolder": f"{r['asset_type']}s", "assetType": r["asset_type"], "category": r["category"], "confidence": r["confidence"]} for r in rows]}),
-        "asset_metadata.json": dump({"version": 1, "assets": [{"source": m["source"], "name": m["suggested_name"], "type": m["asset_type"], "category": m["category"], "description": m["description"], "animationSuggestions": m["moves"]} for m in meta]}),
+        "ai_report.json": report(),
+        "classification.json": one_list("items", enrich.classification(good), lambda r: {"source": r.source, "suggestedFolder": r.suggested_folder, "assetType": r.asset_type, "category": r.category, "confidence": r.confidence}),
+        "asset_metadata.json": one_list("assets", meta, lambda r: {"source": r.source, "name": r.suggested_name, "type": r.asset_type, "category": r.category, "description": r.description, "animationSuggestions": r.moves}),
     }

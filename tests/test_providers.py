@@ -29,7 +29,13 @@ def test_understand_asks_once(spark, tmp_path):
     again = provider.understand(assets, cache, settings, provider.Scripted((good,))).collect()
     assert sum(r.hit for r in again) == 2  # the failed call is asked again
     docs = provider.sidecars(provider.understand(assets, provider.AnswerCache(spark, str(tmp_path / "none")), settings), settings)
+    docs = {name: "".join(parts) for name, parts in docs.items()}
     assert set(docs) == {"ai_report.json", "classification.json", "asset_metadata.json"}
+    for text in docs.values():
+        assert text == json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n"
+    report = json.loads(docs["ai_report.json"])
+    assert [r["source"] for r in report["results"]] == ["a.png", "b.png", "c.png"] and set(report["suggestions"]) == {"naming", "pivot", "animation"} and report["errors"] == []
+    assert [m["source"] for m in json.loads(docs["asset_metadata.json"])["assets"]] == ["a.png", "b.png", "c.png"]
     (tmp_path / "cache/broken.parquet").write_bytes(b"x")
 
 
