@@ -44,10 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small or medium result by a reliable checkpoint (never a local one).
 
-    The files go when the returned DataFrame is garbage-collected and
-    `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
+    A checkpoint is a file for each partition, and making a file costs more than a few rows do, so rows
+    are gathered in two partitions a core if shuffles have more. The files go when the returned DataFrame
+    is garbage-collected and `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
+    few = max(2, 2 * spark.sparkContext.defaultParallelism)
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) > few:
+        df = df.repartition(few)
     return df.checkpoint(eager=True)
 
 

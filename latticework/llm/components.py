@@ -1,8 +1,8 @@
-"""Connected components of an edge list: contracted where it lies, then labelled.
+"""Connected components of an edge list, labelled in one task if it is small, else contracted first.
 
-Each partition first keeps a spanning forest of its own edges, so at most one edge a node leaves it.
-Up to `BOUNDED` edges then meet in one task, a few MB, which labels them in one go; more are labelled
-by distributed large-star and small-star rounds. Both give the same labels.
+Up to `BOUNDED` edges meet in one task, a few MB, which labels them in one go. Of more, each partition
+first keeps a spanning forest of its own edges, so at most one edge a node leaves it; what is still too
+large is labelled by distributed large-star and small-star rounds. All give the same labels.
 """
 
 from __future__ import annotations
@@ -45,12 +45,15 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of an edge list (a long, b long): component is its least node.
+    """(node, component) for every node of a checkpointed edge list (a long, b long): component is its least node.
 
     Null ends and loops are left out. Nodes without an edge don't appear. Checkpointed.
     """
-    own = map_arrow(edges.where("a <> b").select("a", "b"), _labels, "node long, component long")
-    forest = cut(own.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).distinct())
-    if forest.count() <= BOUNDED:
-        return cut(map_arrow(forest.coalesce(1), _labels, "node long, component long"))
-    return cut(star_components(forest))
+    edges = edges.where("a <> b").select("a", "b")
+    n, schema = edges.count(), "node long, component long"
+    if n > BOUNDED:
+        own = map_arrow(edges.coalesce(-(-n // BOUNDED)), _labels, schema)
+        edges = cut(own.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        if edges.count() > BOUNDED:
+            return cut(star_components(edges))
+    return cut(map_arrow(edges.coalesce(1), _labels, schema))

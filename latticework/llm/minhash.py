@@ -385,7 +385,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     release(spark)
     # what shares a bucket but neither is linked with its least member
     tasks = _tasks(_mixed(members, components(links)))
-    links = links.unionByName(_compared(tasks, attributes, texts))
+    links = cut(links.unionByName(_compared(tasks, attributes, texts)))
     labels = components(links)
     release(spark)
 

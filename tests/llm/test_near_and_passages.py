@@ -199,3 +199,26 @@ def test_pair_whose_only_common_bucket_is_large(spark, monkeypatch):
     rows = [(i, prose(300 + i, 100), "en", "a", 1) for i in range(1, 21)] + [(30, text, "en", "a", 1), (31, text + " x", "en", "a", 1)]
     got = {r.doc_id: r.component_id for r in minhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: i for i in range(1, 21)} | {30: 30, 31: 30}
+
+
+@pytest.mark.parametrize("bounded", [10**6, 100, 3])
+def test_components_on_every_path(spark, monkeypatch, bounded):
+    from latticework.llm import components
+
+    monkeypatch.setattr(components, "BOUNDED", bounded)
+    rng = random.Random(4)
+    edges = [(9000, i) for i in range(60)] + [(100 + i, 101 + i) for i in range(80)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(90)] + [(7, 7), (None, 8)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    rng.shuffle(edges)
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert {r.node: r.component for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
