@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,10 +79,26 @@ def drop_written(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """`mapInArrow` with this package at hand on the executors."""
+class _Tidy:
+    """A kernel after which a worker gives memory back, as idle workers stay beside the next stages."""
+
+    def __init__(self, kernel: Callable, tokens: bool):
+        self.kernel, self.tokens = kernel, tokens
+
+    def __call__(self, batches):
+        if not self.tokens and (module := sys.modules.get(f"{__package__}.tokens")):
+            module.Encoder.forget()
+        yield from self.kernel(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def map_arrow(df: DataFrame, kernel: Callable, schema: str, tokens: bool = False) -> DataFrame:
+    """`mapInArrow` with this package at hand on the executors; `tokens` says that the kernel uses an `Encoder`."""
     ship(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+    return df.mapInArrow(_Tidy(kernel, tokens), schema)
 
 
 def release(spark: SparkSession) -> None:

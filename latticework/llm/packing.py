@@ -73,7 +73,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, capacity, end_id), _PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pieces(tokenizer, capacity, end_id), _PIECES, tokens=True)
 
 
 # ---- one island: packings are lists of bins, a bin is a list of item numbers

@@ -54,7 +54,7 @@ def counted(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     """doc_id, source, lang, tokenizer, n_tokens, n_chars and a 128-bit hash (h1, h2) of the text for each row."""
     text = F.col("text").cast("string")
     rows = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *hash128(F.coalesce(text, F.lit(""))))
-    out = map_arrow(rows, _count_kernel(tokenizer), "n_tokens long, n_chars long, doc_id long, source string, lang string, h1 long, h2 long")
+    out = map_arrow(rows, _count_kernel(tokenizer), "n_tokens long, n_chars long, doc_id long, source string, lang string, h1 long, h2 long", tokens=True)
     return out.withColumn("tokenizer", F.lit(version))
 
 

@@ -51,9 +51,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         self.whole = self._reference
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -61,6 +59,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         try:
             self._fast(model, set(added))
+            self.tokenizer = None  # loaded again for the rare text that needs it
         except (ImportError, KeyError, ValueError):
             pass
         self.cache = _Cache(self.whole)
@@ -71,7 +70,16 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Free all encoders and their caches."""
+        cls._open.clear()
+
     def _reference(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _fast(self, model: dict, special: set[str]) -> None:
